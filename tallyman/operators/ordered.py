@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,33 @@ def with_row_number(
     )
 
 
+def with_running_sum(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    amount: Column,
+    name: str,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """The sum of ``amount`` over all rows up to and including this one, in sort order.
+
+    Sums run inside each chunk, in parallel; what came before a chunk is added from a table
+    with one row per chunk.
+    """
+    chunked = ordered_chunks(df.withColumn("_amount", amount), order, chunk_rows, "running")
+    totals = chunked.groupBy("_chunk").agg(F.sum("_amount").alias("total")).collect()
+    rows, running = [], 0
+    for chunk, total in sorted((row[0], row.total) for row in totals):
+        rows.append((chunk, running))
+        running += total
+    before = df.sparkSession.createDataFrame(rows, "_chunk long, _base long")
+    within = Window.partitionBy("_chunk").orderBy("_pos")
+    return (
+        chunked.join(F.broadcast(before), "_chunk")
+        .withColumn(name, F.col("_base") + F.sum("_amount").over(within))
+        .drop("_chunk", "_pos", "_base", "_amount")
+    )
+
+
 @dataclass(frozen=True)
 class Fold:
     """An order-dependent fold.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.functions import ancestors, basename, entry_cost, parent, prefixes
+from tallyman.functions import basename, entry_cost, parent, prefixes
 
 
 def with_directories(files: DataFrame) -> DataFrame:
@@ -158,14 +158,3 @@ def with_ancestors(members: DataFrame) -> DataFrame:
     dirs = members.filter(F.col("kind") == "dir").unionByName(above).distinct()
     return members.filter(F.col("kind") != "dir").unionByName(dirs)
 
-
-__all__ = [
-    "ancestors",
-    "expand_pieces",
-    "frontier",
-    "member_name",
-    "subtree_sizes",
-    "tree_cost",
-    "with_ancestors",
-    "with_directories",
-]

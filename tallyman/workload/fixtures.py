@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyman.functions import components
-from tallyman.operators.ordered import with_row_number
+from tallyman.operators.ordered import with_row_number, with_running_sum
 from tallyman.operators.rollup import with_directories
 
 TREE_LIMIT = 131_072
@@ -111,3 +111,159 @@ archive AS (
          row_number() OVER (ORDER BY string_split(path, '/')) AS seq
   FROM docs_of_tree)
 """
+
+
+def hex_digest(column: Column) -> Column:
+    return F.sha2(column.cast("binary"), 256)
+
+
+def catalog(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
+    """One nested catalog row per part; with ``faults`` each rule is broken by some of them."""
+    key = F.col("p_partkey")
+    v = F.pmod(key, F.lit(40)) if faults else F.lit(39)
+    saved = v.isin(7, 8, 9, 10, 12)
+    lazy = ((F.pmod(key, F.lit(3)) == 0) & ~saved) | (v == 16)
+    name = lambda n: F.concat(F.lit("d"), key.cast("string"), F.lit(f"_{n}.tar"))
+    digest = lambda n: hex_digest(F.concat("p_name", F.lit(f"-{n}")))
+    null = F.lit(None).cast("string")
+
+    def urls(n: int) -> Column:
+        return F.array(*[
+            F.concat(F.lit(f"https://{host}.example/"), key.cast("string"), F.lit(f"/{n}"))
+            for host in ("a", "b")
+        ])
+
+    def dataset(filename: Column, sha: Column, links: Column, flag: Column) -> Column:
+        return F.struct(
+            filename.alias("filename"), sha.alias("sha256"), links.alias("urls"),
+            flag.alias("prepare_input"),
+        )
+
+    no_urls = F.lit(None).cast("array<string>")
+    datasets = F.array(
+        dataset(name(0), digest(0), urls(0), lazy),
+        dataset(
+            F.when(v == 1, null).otherwise(name(1)),
+            F.when(v == 2, null).when(v == 4, F.upper(digest(1))).otherwise(digest(1)),
+            F.when(v == 3, no_urls)
+            .when(v == 5, F.array().cast("array<string>"))
+            .otherwise(urls(1)),
+            lazy,
+        ),
+        dataset(name(2), digest(2), urls(2), F.lit(False)),
+    )
+    tag = F.concat(F.lit("site:"), key.cast("string"))
+    source = F.when(
+        saved,
+        F.struct(
+            F.lit("docker-save").alias("kind"),
+            F.when(v == 7, null).when(v == 9, F.lit("other.tar")).otherwise(name(0)).alias("dataset"),
+            F.when(v == 8, null).otherwise(tag).alias("tag"),
+        ),
+    ).when(
+        v.isin(6, 11),
+        F.struct(
+            F.when(v == 6, F.lit("zip")).otherwise(F.lit("build")).alias("kind"),
+            F.when(v == 11, name(0)).alias("dataset"),
+            null.alias("tag"),
+        ),
+    )
+    output = F.concat(F.lit("out_"), key.cast("string"), F.lit(".tar"))
+    prepare = F.when(
+        ~(v.isin(7, 8, 9, 10, 16)),
+        F.struct(
+            F.when(v == 13, null).otherwise(F.lit("derive.sh")).alias("script"),
+            F.when(v == 14, F.lit(None).cast("array<string>"))
+            .when(v == 15, F.array().cast("array<string>"))
+            .otherwise(F.array(output))
+            .alias("outputs"),
+        ),
+    )
+    media = F.when(
+        ~(saved | v.isin(13, 14, 15, 16)),
+        F.struct(
+            F.when(v == 17, null).when(v == 22, F.lit("nope.tar")).otherwise(output).alias("archive"),
+            F.lit("/pub/media/").alias("strip"),
+            F.when(v == 18, null).when(v == 23, F.lit("opt/x")).otherwise(F.lit("/opt/x/")).alias("dest"),
+            F.when(v == 19, null).when(v.isin(24, 28), F.lit("app")).otherwise(F.lit("app:app")).alias("chown"),
+            F.when(v != 20, (F.col("p_size") * 1024).cast("long")).alias("limit_kb"),
+            F.when(v != 21, F.pmod(key, F.lit(14)).cast("int") + 1).alias("max_buckets"),
+            F.when(F.pmod(key, F.lit(2)) == 0, key).alias("min_entries"),
+            F.lit(None).cast("boolean").alias("restore_needs_media"),
+        ),
+    )
+    build = F.when(
+        ~saved | (v == 10), F.struct(F.create_map(F.lit("BRAND"), F.col("p_brand")).alias("args"))
+    )
+    minutes = (
+        F.when(v == 25, F.lit("-3"))
+        .when(v == 26, F.lit("1.5"))
+        .when(F.pmod(key, F.lit(7)) == 0, null)
+        .otherwise(F.col("p_size").cast("string"))
+    )
+    run = F.struct(
+        null.alias("healthcheck"),
+        F.when(F.pmod(key, F.lit(5)) == 0, F.lit("90")).alias("reachability_timeout_s"),
+        F.when(v.isin(27, 28), F.lit("900")).alias("healthcheck_timeout_s"),
+    )
+    return table(spark, sf_dir, "part").select(
+        F.lower(F.translate("p_brand", "# ", "__")).alias("benchmark"),
+        F.concat(F.lit("svc"), key.cast("string")).alias("service"),
+        datasets.alias("datasets"),
+        source.alias("source"),
+        prepare.alias("prepare"),
+        media.alias("media"),
+        build.alias("build"),
+        minutes.alias("build_minutes"),
+        run.alias("run"),
+    )
+
+
+IMAGES_SQL = """
+images AS (
+  SELECT lower(translate(p_brand, '# ', '__')) AS benchmark, 'svc' || p_partkey AS service, *
+  FROM part)
+"""
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as layers of one image per source."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("ref"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"),
+        hex_digest(F.col("text")).alias("digest"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
+def conversation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as neighbouring byte ranges of one archive: ``(name, turns, start, end)``."""
+    per_conv = (
+        table(spark, sf_dir, "conversations")
+        .groupBy("conv_id")
+        .agg(
+            F.sum(F.octet_length("text").cast("long")).alias("bytes"),
+            F.count(F.lit(1)).alias("turns"),
+        )
+    )
+    return with_running_sum(per_conv, ["conv_id"], F.col("bytes"), "end").select(
+        F.lit("talks").alias("archive"),
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("name"),
+        "turns",
+        (F.col("end") - F.col("bytes")).alias("start"),
+        "end",
+    )
+
+
+CONVERSATION_SQL = """
+per_conv AS (
+  SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS turns
+  FROM conversations GROUP BY 1),
+talks AS (
+  SELECT 'conv_' || conv_id AS name, turns,
+         (sum(bytes) OVER (ORDER BY conv_id) - bytes)::BIGINT AS s,
+         (sum(bytes) OVER (ORDER BY conv_id))::BIGINT AS e
+  FROM per_conv),
+whole AS (SELECT max(e) AS total FROM talks)
+"""
