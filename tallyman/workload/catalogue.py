@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyman.workload.registry import Query, Workload
 
-AREAS = ("packing", "ranges")
+AREAS = ("packing", "ranges", "files", "catalogs", "sync", "search")
 
 
 def _areas() -> list[Workload]:

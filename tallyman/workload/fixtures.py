@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with ``ts`` as an instant: its wall clock read as UTC in any session."""
+    return table(spark, sf_dir, "events").withColumn("ts", utc_instant("ts"))
+
+
+def utc_instant(name: str) -> Column:
+    since = f"CAST({name} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND)"
+    return F.expr(f"timestamp_micros(CAST(CAST({since} AS DECIMAL(20, 6)) * 1000000 AS BIGINT))")
+
+
 def document_path() -> Column:
     return F.concat_ws(
         "/",
