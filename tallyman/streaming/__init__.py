@@ -1,0 +1,20 @@
+"""The operators that make sense over an endless input."""
+
+from tallyman.streaming.alerts import stall_alerts
+from tallyman.streaming.running import (
+    peaks_from_windows,
+    resource_windows,
+    running_audit,
+    unique_digests,
+)
+from tallyman.streaming.runner import drain_appended, drain_complete
+
+__all__ = [
+    "drain_appended",
+    "drain_complete",
+    "peaks_from_windows",
+    "resource_windows",
+    "running_audit",
+    "stall_alerts",
+    "unique_digests",
+]

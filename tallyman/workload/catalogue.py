@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyman.workload.registry import Query, Workload
 
-AREAS = ("packing", "ranges", "files", "catalogs", "sync", "search")
+AREAS = ("packing", "ranges", "files", "catalogs", "sync", "search", "streams")
 
 
 def _areas() -> list[Workload]:
