@@ -16,15 +16,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyman.session import stage
 
 #: Rows one fold task may hold. A power of two, so that a chunk never spans partitions.
-CHUNK_ROWS = 1 << 17
+CHUNK_ROWS = 1 << 18
 _PARTITION_BITS = 33
 
 State = tuple[int, ...]
@@ -116,50 +119,79 @@ def with_running_sum(
     )
 
 
+Columns = dict[str, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Fold:
     """An order-dependent fold.
 
-    ``step(state, rows)`` gets one chunk of one key in order and returns the state after it
-    and the output rows. ``skip(state, summary)`` returns the state after a chunk when the
-    summary alone decides it, else ``None``. ``summary`` are the aggregates ``skip`` reads.
+    ``step(state, columns)`` gets the ``reads`` columns of one key's rows in one chunk, in
+    order, as arrays. It returns the state after them, the indices of the rows it has output
+    for, and the output columns named in ``output``. ``carry`` names columns handed through
+    from those rows. ``skip(state, summary)`` returns the state after a chunk when the
+    ``summary`` aggregates alone decide it, else ``None``.
     """
 
     init: State
-    step: Callable[[State, pd.DataFrame], tuple[State, pd.DataFrame]]
+    reads: Sequence[str]
+    step: Callable[[State, Columns], tuple[State, np.ndarray, Columns]]
     output: str
+    carry: Sequence[str] = ()
     skip: Callable[[State, dict], State | None] = lambda state, summary: None
     summary: Sequence[Column] = field(default_factory=tuple)
 
 
-def _with_key_types(chunked: DataFrame, keys: Sequence[str], tail: str) -> T.StructType:
-    fields = [T.StructField(k, chunked.schema[k].dataType) for k in keys]
+def _segments(rows: pa.Table, keys: Sequence[str]) -> list[tuple[int, int, tuple]]:
+    """``(start, stop, key)`` of each run of one key in sorted rows."""
+    n = rows.num_rows
+    turns = np.zeros(n, dtype=bool)
+    turns[0] = True
+    for key in keys:
+        codes = pc.dictionary_encode(rows[key].combine_chunks(), null_encoding="encode").indices
+        codes = codes.to_numpy()
+        turns[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(turns)
+    stops = np.append(starts[1:], n)
+    return [
+        (int(a), int(b), tuple(rows[k][int(a)].as_py() for k in keys))
+        for a, b in zip(starts, stops)
+    ]
+
+
+def _in_order(rows: pa.Table, reads: Sequence[str]) -> tuple[pa.Table, Columns]:
+    rows = rows.sort_by("_pos")
+    return rows, {name: rows[name].to_numpy() for name in reads}
+
+
+def _with_key_types(chunked: DataFrame, names: Sequence[str], tail: str) -> T.StructType:
+    fields = [T.StructField(n, chunked.schema[n].dataType) for n in names]
     return T.StructType(fields + T.StructType.fromDDL(tail).fields)
 
 
 def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dict:
     """``(key..., chunk) -> state`` for every chunk of the keys that have several.
 
-    The driver sees one summary row per chunk, i.e. rows / chunk_rows of them.
+    The driver sees one summary row per chunk, i.e. rows / chunk_rows of them, and only of
+    keys that span chunks. Each round opens at most one chunk per key and reads only the
+    columns the fold reads.
     """
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("rows"), *fold.summary)
+    per_chunk = chunked.groupBy(*keys, "_chunk").agg(*(fold.summary or [F.count("_pos").alias("n")]))
+    facts = [c for c in per_chunk.columns if c not in keys]
     summaries = (
         per_chunk.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("_chunk", "rows", *[
-            c for c in per_chunk.columns if c not in (*keys, "_chunk", "rows")
-        ]))).alias("chunks"))
+        .agg(F.sort_array(F.collect_list(F.struct(*facts))).alias("chunks"))
         .filter(F.size("chunks") > 1)
         .collect()
     )
-    starts: dict = {}
-    if not summaries:
-        return starts
     todo = {tuple(row[k] for k in keys): [c.asDict() for c in row.chunks] for row in summaries}
     state = {key: tuple(fold.init) for key in todo}
     at = dict.fromkeys(todo, 0)
-
-    step = fold.step
-    state_schema = _with_key_types(chunked, keys, "_chunk long, _state array<bigint>")
+    starts: dict = {}
+    # Tasks get these, not the fold: it holds Columns, which stay on the driver.
+    key_names, step, reads = list(keys), fold.step, list(fold.reads)
+    schema = _with_key_types(chunked, keys, "_chunk long, _state array<bigint>")
+    narrow = chunked.select(*dict.fromkeys([*keys, *fold.reads, "_pos", "_chunk"]))
 
     while True:
         opened: dict = {}
@@ -167,34 +199,38 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
             while at[key] < len(chunks):
                 chunk = chunks[at[key]]
                 starts[(*key, chunk["_chunk"])] = state[key]
+                after = fold.skip(state[key], chunk)
                 if at[key] == len(chunks) - 1:
                     at[key] += 1
-                    break
-                after = fold.skip(state[key], chunk)
-                if after is None:
+                elif after is None:
                     opened[(*key, chunk["_chunk"])] = state[key]
                     break
-                state[key] = tuple(after)
-                at[key] += 1
+                else:
+                    state[key] = tuple(after)
+                    at[key] += 1
         if not opened:
             return starts
 
-        wanted = [k[-1] for k in opened]
-        current = dict(opened)
-
-        def advance(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            before = current.get(tuple(_plain(k) for k in key))
-            if before is None:
-                return pd.DataFrame(columns=[f.name for f in state_schema.fields])
-            after, _ = step(before, rows.sort_values("_pos", ignore_index=True))
-            return pd.DataFrame(
-                [[*key, [int(v) for v in after]]], columns=[f.name for f in state_schema.fields]
-            )
-
+        def advance(rows: pa.Table, opened=opened) -> pa.Table:
+            chunk = rows["_chunk"][0].as_py()
+            rows, columns = _in_order(rows, reads)
+            out: list[dict] = []
+            for a, b, key in _segments(rows, key_names):
+                before = opened.get((*key, chunk))
+                if before is not None:
+                    after, _, _ = step(before, {n: c[a:b] for n, c in columns.items()})
+                    out.append({
+                        **dict(zip(key_names, key)),
+                        "_chunk": chunk,
+                        "_state": [int(v) for v in after],
+                    })
+            return pa.Table.from_pylist(out, schema=arrow_schema)
+
+        arrow_schema = to_arrow_schema(schema)
         moved = (
-            chunked.filter(F.col("_chunk").isin(wanted))
-            .groupBy(*keys, "_chunk")
-            .applyInPandas(advance, state_schema)
+            narrow.filter(F.col("_chunk").isin([k[-1] for k in opened]))
+            .groupBy("_chunk")
+            .applyInArrow(advance, schema)
             .collect()
         )
         for row in moved:
@@ -203,22 +239,29 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
             at[key] += 1
 
 
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
-
-
 def run_fold(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
-    """Fold every key's rows in order; output columns are ``keys`` plus ``fold.output``."""
+    """Fold every key's rows in order: columns ``keys``, ``fold.carry`` and ``fold.output``."""
     starts = chunked.sparkSession.sparkContext.broadcast(_starting_states(chunked, keys, fold))
-    schema = _with_key_types(chunked, keys, fold.output)
-    names = [f.name for f in schema.fields]
-    init, step, key_names = tuple(fold.init), fold.step, list(keys)
-
-    def produce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        before = starts.value.get(tuple(_plain(k) for k in key), init)
-        _, out = step(before, rows.sort_values("_pos", ignore_index=True))
-        for name, value in zip(key_names, key):
-            out[name] = value
-        return out[names]
-
-    return chunked.groupBy(*keys, "_chunk").applyInPandas(produce, schema)
+    kept = [*keys, *fold.carry]
+    schema = _with_key_types(chunked, kept, fold.output)
+    arrow_schema = to_arrow_schema(schema)
+    new = T.StructType.fromDDL(fold.output).names
+    init, step, reads, key_names = tuple(fold.init), fold.step, list(fold.reads), list(keys)
+
+    def produce(rows: pa.Table) -> pa.Table:
+        chunk = rows["_chunk"][0].as_py()
+        rows, columns = _in_order(rows, reads)
+        where, made = [], {name: [] for name in new}
+        for a, b, key in _segments(rows, key_names):
+            before = starts.value.get((*key, chunk), init)
+            _, index, out = step(before, {n: c[a:b] for n, c in columns.items()})
+            where.append(index + a)
+            for name in new:
+                made[name].append(out[name])
+        picked = rows.select(kept).take(pa.array(np.concatenate(where)))
+        for name in new:
+            picked = picked.append_column(name, pa.array(np.concatenate(made[name])))
+        return picked.cast(arrow_schema)
+
+    needed = dict.fromkeys([*kept, *fold.reads, "_pos", "_chunk"])
+    return chunked.select(*needed).groupBy("_chunk").applyInArrow(produce, schema)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.functions import components, entry_cost
@@ -14,8 +14,7 @@ class _Room:
     """Free bytes per bucket in a max-tree: lowest bucket with room in O(log buckets)."""
 
     def __init__(self, limit: int, buckets: int, used: tuple[int, ...]):
-        self.limit, self.open = limit, len(used)
-        self.width = 1
+        self.limit, self.open, self.width = limit, len(used), 1
         while self.width < max(buckets, 1):
             self.width *= 2
         self.best = [-1] * (2 * self.width)
@@ -24,40 +23,78 @@ class _Room:
         for i in range(self.width - 1, 0, -1):
             self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
 
-    def place(self, size: int) -> int:
-        best = self.best
-        if best[1] < size:
+    def find(self, size: int) -> int:
+        if self.best[1] < size:
             return -1
         at = 1
         while at < self.width:
             at *= 2
-            if best[at] < size:
+            if self.best[at] < size:
                 at += 1
-        bucket = at - self.width
-        best[at] -= size
+        return at - self.width
+
+    def take(self, bucket: int, nbytes: int) -> None:
+        best, at = self.best, self.width + bucket
+        best[at] -= nbytes
         while at > 1:
             at //= 2
             best[at] = max(best[2 * at], best[2 * at + 1])
         self.open = max(self.open, bucket + 1)
-        return bucket
+
+    def free(self, bucket: int) -> int:
+        return self.best[self.width + bucket]
+
+    def widest_before(self, bucket: int) -> int:
+        """The most free bytes in any bucket below ``bucket``; -1 without one."""
+        at, widest = self.width + bucket, -1
+        while at > 1:
+            if at % 2:
+                widest = max(widest, self.best[at - 1])
+            at //= 2
+        return widest
 
     def used(self) -> tuple[int, ...]:
-        return tuple(self.limit - self.best[self.width + i] for i in range(self.open))
+        return tuple(self.limit - self.free(i) for i in range(self.open))
 
 
 def first_fit(limit: int, max_buckets: int) -> Fold:
-    """First-fit over rows with ``bytes``; the state is the bytes used per open bucket."""
+    """First-fit over ``bytes``; the state is the bytes used per open bucket.
 
-    def step(state, rows):
+    Pieces are placed one by one only where something happens: one that fits an earlier
+    bucket, or one that does not fit the newest. The run between two such pieces goes to
+    the newest bucket, or with every bucket full to none, by array arithmetic.
+    """
+
+    def step(state, columns):
+        sizes = columns["bytes"]
+        n = len(sizes)
+        spots = np.full(n, -1, dtype=np.int64)
         room = _Room(limit, max_buckets, state)
-        spots = [room.place(size) for size in rows["bytes"].tolist()]
-        out = pd.DataFrame({
-            "path": rows["path"],
-            "bytes": rows["bytes"],
-            "bucket": pd.array([None if s < 0 else s for s in spots], dtype="Int32"),
-            "status": ["overflow" if s < 0 else "ok" for s in spots],
-        })
-        return room.used(), out
+        i, look = 0, 16
+        while i < n:
+            size = int(sizes[i])
+            spot = room.find(size)
+            if spot >= 0:
+                room.take(spot, size)
+                spots[i] = spot
+            i += 1
+            ahead = sizes[i : i + look]
+            if spot < 0:
+                # Nothing has room for this size: pass over all that is too large.
+                hits = np.flatnonzero(ahead <= room.best[1])
+                run = int(hits[0]) if len(hits) else len(ahead)
+            else:
+                newest = room.open - 1
+                hits = np.flatnonzero(ahead <= room.widest_before(newest))
+                run = int(hits[0]) if len(hits) else len(ahead)
+                upto = np.cumsum(ahead[:run])
+                run = int(np.searchsorted(upto, room.free(newest), side="right"))
+                if run:
+                    room.take(newest, int(upto[run - 1]))
+                    spots[i : i + run] = newest
+            i += run
+            look = min(2 * look, 1 << 16) if run == len(ahead) else max(16, 2 * run)
+        return room.used(), np.arange(n), {"spot": spots}
 
     def skip(state, chunk):
         """A chunk lands whole in one bucket when nothing in it fits an earlier one."""
@@ -76,10 +113,22 @@ def first_fit(limit: int, max_buckets: int) -> Fold:
 
     return Fold(
         init=(),
+        reads=("bytes",),
         step=step,
+        output="spot long",
+        carry=("path", "bytes"),
         skip=skip,
         summary=(F.sum("bytes").alias("total"), F.min("bytes").alias("least")),
-        output="path string, bytes long, bucket int, status string",
+    )
+
+
+def _placed(folded: DataFrame, *columns: str | Column) -> DataFrame:
+    """A fold's ``spot`` as ``bucket`` and ``status``; a negative spot is an overflow."""
+    found = F.col("spot") >= 0
+    return folded.select(
+        *columns,
+        F.when(found, F.col("spot")).cast("int").alias("bucket"),
+        F.when(found, "ok").otherwise("overflow").alias("status"),
     )
 
 
@@ -99,48 +148,52 @@ def pack_first_fit(
     refused = pieces.filter(F.col("status") != "ok").select(
         "root", "path", "bytes", F.lit(None).cast("int").alias("bucket"), "status"
     )
-    return run_fold(chunked, ["root"], first_fit(limit, max_buckets)).unionByName(refused)
+    folded = run_fold(chunked, ["root"], first_fit(limit, max_buckets))
+    return _placed(folded, "root", "path", "bytes").unionByName(refused)
 
 
-def next_fit(limit: int, max_buckets: int | None, carry: tuple[str, ...] = ()) -> Fold:
-    """Forward-only buckets; the state is ``(bucket, bytes used)``.
+def next_fit(limit: int, max_buckets: int | None, carry: tuple[str, ...]) -> Fold:
+    """Forward-only buckets over ``cost``; the state is ``(bucket, bytes used)``.
 
-    ``carry`` names string columns handed through, which saves joining them back.
+    Only rows with ``rolls`` open a new bucket. Without ``max_buckets`` there is no end to
+    them.
     """
     ceiling = max_buckets if max_buckets is not None else 1 << 62
 
-    def step(state, rows):
+    def step(state, columns):
         bucket, used = state
-        spots = []
-        for cost, rolls in zip(rows["cost"].tolist(), rows["rolls"].tolist()):
-            if bucket < ceiling and rolls and used and used + cost > limit:
+        upto = np.cumsum(columns["cost"])
+        rolling = np.flatnonzero(columns["rolls"])
+        n, i = len(upto), 0
+        spots = np.full(n, -1, dtype=np.int64)
+        while i < n and bucket < ceiling:
+            base = (int(upto[i - 1]) if i else 0) - used
+            # The first row past the limit, but not one that finds the bucket empty.
+            over = np.searchsorted(upto, base + limit, side="right")
+            filled = np.searchsorted(upto, base, side="right") + 1
+            at = np.searchsorted(rolling, max(i, over, filled))
+            j = int(rolling[at]) if at < len(rolling) else n
+            spots[i:j] = bucket
+            used = (int(upto[j - 1]) if j else 0) - base
+            if j < n:
                 bucket, used = bucket + 1, 0
-            spots.append(bucket)
-            used += cost
-        placed = pd.Series(spots, dtype="int64")
-        out = pd.DataFrame({
-            "seq": rows["seq"],
-            **{name: rows[name] for name in carry},
-            "bytes": rows["cost"],
-            "bucket": placed.where(placed < ceiling).astype("Int64"),
-            "status": ["ok" if s < ceiling else "overflow" for s in spots],
-        })
-        return (bucket, used), out
+            i = j
+        return (bucket, used), np.arange(n), {"spot": spots}
 
     def skip(state, chunk):
         bucket, used = state
-        if bucket >= ceiling or used + chunk["total"] <= limit:
-            return (bucket, used + chunk["total"])
-        return None
+        if bucket >= ceiling:
+            return state
+        return (bucket, used + chunk["total"]) if used + chunk["total"] <= limit else None
 
     return Fold(
         init=(0, 0),
+        reads=("cost", "rolls"),
         step=step,
+        output="spot long",
+        carry=carry,
         skip=skip,
         summary=(F.sum("cost").alias("total"),),
-        output="seq long, "
-        + "".join(f"{name} string, " for name in carry)
-        + "bytes long, bucket long, status string",
     )
 
 
@@ -163,8 +216,10 @@ def pack_next_fit(
         (F.col("kind") == "file").alias("rolls"),
     )
     chunked = ordered_chunks(costed, ["root", "seq"], chunk_rows, "archive")
-    fold = next_fit(limit, max_buckets, carry=("path", "kind"))
-    return run_fold(chunked, ["root"], fold).withColumn("bucket", F.col("bucket").cast("int"))
+    folded = run_fold(
+        chunked, ["root"], next_fit(limit, max_buckets, ("seq", "path", "kind", "cost"))
+    )
+    return _placed(folded, "root", "seq", "path", "kind", F.col("cost").alias("bytes"))
 
 
 def shard_by_key(
@@ -179,8 +234,9 @@ def shard_by_key(
         F.lit("table").alias("root"), F.col(key).alias("seq"), "cost", F.lit(True).alias("rolls")
     )
     chunked = ordered_chunks(rows, ["seq"], chunk_rows, "shards")
-    return run_fold(chunked, ["root"], next_fit(limit, None)).select(
-        F.col("seq").alias(key), "bytes", F.col("bucket").alias("shard")
+    folded = run_fold(chunked, ["root"], next_fit(limit, None, ("seq", "cost")))
+    return folded.select(
+        F.col("seq").alias(key), F.col("cost").alias("bytes"), F.col("spot").alias("shard")
     )
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +17,19 @@ def cutting(part_bytes: int) -> Fold:
     next regular cut decides nothing and is skipped.
     """
 
-    def step(state, rows):
+    def step(state, columns):
         (pos,) = state
-        starts, ends = rows["start"].tolist(), rows["end"].tolist()
-        if not starts:
-            return state, pd.DataFrame({"cut": pd.Series([], dtype="int64")})
-        total, cuts = int(rows["total"].iloc[0]), []
-        while total - pos > part_bytes and pos + part_bytes < ends[-1]:
+        starts, ends, total = columns["start"], columns["end"], int(columns["total"][0])
+        last, cuts = int(ends[-1]), []
+        while total - pos > part_bytes and pos + part_bytes < last:
             cut = pos + part_bytes
-            at = bisect_left(starts, cut) - 1
+            at = int(np.searchsorted(starts, cut)) - 1
             if at >= 0 and cut < ends[at]:
-                cut = starts[at] if starts[at] > pos else ends[at]
+                cut = int(starts[at] if starts[at] > pos else ends[at])
             cuts.append(cut)
             pos = cut
-        return (pos,), pd.DataFrame({"cut": pd.Series(cuts, dtype="int64")})
+        index = np.zeros(len(cuts), dtype=np.int64)
+        return (pos,), index, {"cut": np.array(cuts, dtype=np.int64)}
 
     def skip(state, chunk):
         if state[0] + part_bytes >= chunk["until"]:
@@ -40,7 +37,12 @@ def cutting(part_bytes: int) -> Fold:
         return None
 
     return Fold(
-        init=(0,), step=step, skip=skip, summary=(F.max("end").alias("until"),), output="cut long"
+        init=(0,),
+        reads=("start", "end", "total"),
+        step=step,
+        output="cut long",
+        skip=skip,
+        summary=(F.max("end").alias("until"),),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,36 +174,44 @@ def stalling(tick_s: int, after_s: int, min_bytes_per_s: float) -> Fold:
     """
     tick, after = tick_s * 1_000_000, after_s * 1_000_000
 
-    def step(state, rows):
+    def step(state, columns):
         started, last, got, done = state
-        ticks = []
-        if not done:
-            for at, nbytes in zip(rows["at_us"].tolist(), rows["bytes"].tolist()):
-                if started < 0:
-                    started = last = at
-                got += nbytes
-                if at - last < tick:
-                    continue
-                last = at
-                rate = got * 1_000_000 / (at - started)
-                stalled = rate < min_bytes_per_s and at - started >= after
-                ticks.append((at, at - started, got, rate, stalled))
-                if stalled:
-                    done = 1
+        at, upto = columns["at_us"], got + np.cumsum(columns["bytes"])
+        n, i, ticks = len(at), 0, []
+        if n and not done:
+            if started < 0:
+                started = last = int(at[0])
+            while True:
+                i = max(i, int(np.searchsorted(at, last + tick)))
+                if i >= n:
                     break
-        out = pd.DataFrame(ticks, columns=["at_us", "elapsed_us", "got", "rate", "stalled"])
-        return (started, last, got, done), out.astype(
-            {"at_us": "int64", "elapsed_us": "int64", "got": "int64", "rate": "float64", "stalled": "bool"}
-        )
+                last = int(at[i])
+                elapsed, moved = last - started, int(upto[i])
+                rate = moved * 1_000_000 / elapsed if elapsed else float("inf")
+                done = int(rate < min_bytes_per_s and elapsed >= after)
+                ticks.append((i, elapsed, moved, rate, bool(done)))
+                if done:
+                    break
+                i += 1
+            got = int(upto[-1])
+        index, elapsed, moved, rates, stops = (list(c) for c in zip(*ticks)) if ticks else [[]] * 5
+        return (started, last, got, done), np.array(index, dtype=np.int64), {
+            "elapsed_us": np.array(elapsed, dtype=np.int64),
+            "got": np.array(moved, dtype=np.int64),
+            "rate": np.array(rates, dtype=np.float64),
+            "stalled": np.array(stops, dtype=bool),
+        }
 
     def skip(state, chunk):
         return state if state[3] else None
 
     return Fold(
         init=(-1, -1, 0, 0),
+        reads=("at_us", "bytes"),
         step=step,
+        output="elapsed_us long, got long, rate double, stalled boolean",
+        carry=("at_us",),
         skip=skip,
-        output="at_us long, elapsed_us long, got long, rate double, stalled boolean",
     )
 
 

@@ -37,8 +37,10 @@ def stall_alerts(
         rows = pd.concat(list(batches)).sort_values(["at_us", "seq"], ignore_index=True)
         timely = rows[rows["at_us"] >= before[1]]
         late += len(rows) - len(timely)
-        after, ticks = fold.step(tuple(before), timely)
+        columns = {name: timely[name].to_numpy() for name in fold.reads}
+        after, index, out = fold.step(tuple(before), columns)
         state.update((*after, late))
+        ticks = pd.DataFrame({"at_us": columns["at_us"][index], **out})
         alerts = ticks[ticks["stalled"]][["at_us", "elapsed_us", "got"]].copy()
         alerts.insert(0, "transfer", key[0])
         alerts["late"] = late

@@ -34,7 +34,6 @@ from tallyman.sources import (
     read_lock,
     read_product_json,
     read_readings,
-    require_ok,
     write_buckets,
     write_checksums,
 )
@@ -255,11 +254,11 @@ def s7_read_readings(spark, sf_dir):
 
 @work.query(
     "k1_write_buckets",
-    _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed", TREE_LIMIT, TREE_BUCKETS),
+    _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed WHERE bucket IS NOT NULL", TREE_LIMIT, TREE_BUCKETS),
 )
 def k1_write_buckets(spark, sf_dir):
     pieces = frontier(subtree_sizes(tree_entries(spark, sf_dir)), TREE_LIMIT)
-    packed = require_ok(pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS))
+    packed = pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS)
     path = scratch_path(spark, "buckets")
     write_buckets(packed.drop("status"), path)
     return read_buckets(spark, path).select("root", "bucket", "path", "bytes")
