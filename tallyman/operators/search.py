@@ -7,9 +7,11 @@ document id. These are parameters of this library.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tallyman.functions import words
 from tallyman.session import broadcast_if_small, stage
 
 SCORE_DIGITS = 6
+#: Tokens inverted at once; a longer document is inverted alone.
+BATCH_TOKENS = 2_000_000
 
 
 def to_search_docs(
@@ -33,24 +37,68 @@ def to_search_docs(
 
 @dataclass(frozen=True)
 class Postings:
-    """An index: ``postings (term, id, tf, positions)``, ``terms (term, df)``, ``docs (id, length)``."""
+    """An index.
+
+    ``postings (term, id, tf, positions, length)``, ``terms (term, df)`` and
+    ``docs (id, length)``. A posting repeats its document's length, so that scoring joins
+    nothing but the query terms.
+    """
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
 
 
+def _postings_of(tokens: pa.ListArray, ids: pa.Array, positions: bool) -> pa.RecordBatch:
+    """Group each document's tokens by term with one stable sort over the whole batch."""
+    offsets = tokens.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    lengths = np.diff(offsets)
+    flat = tokens.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    group = doc * max(len(flat.dictionary), 1) + flat.indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    turns = np.flatnonzero(np.diff(group[order], prepend=-1))
+    first = order[turns]
+    edges = np.append(turns, len(order))
+    columns = {
+        "term": flat.dictionary.take(flat.indices.take(pa.array(first))),
+        "id": ids.take(pa.array(doc[first])),
+        "tf": pa.array(np.diff(edges).astype(np.int32)),
+        "length": pa.array(lengths[doc[first]]),
+    }
+    if positions:
+        at = (np.arange(len(doc)) - offsets[:-1][doc])[order]
+        columns["positions"] = pa.ListArray.from_arrays(
+            pa.array(edges.astype(np.int32)), pa.array(at.astype(np.int32))
+        )
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def build_postings(docs: DataFrame, positions: bool = True) -> Postings:
     """Tokenise ``docs (id, contents)`` into postings, term and document tables.
 
-    Grouped by term and document, so a frequent term is spread over all tasks.
+    A document is one row, so its postings are made where it is read, without a shuffle;
+    Arrow batches are regrouped by tokens, so that long documents do not pile up in one.
+    Only the document frequencies are shuffled, as partial counts.
     """
     tokens = docs.select("id", words(F.col("contents")).alias("tokens"))
-    placed = tokens.select("id", F.posexplode("tokens").alias("position", "term"))
-    aggregates = [F.count(F.lit(1)).cast("int").alias("tf")]
-    if positions:
-        aggregates.append(F.array_sort(F.collect_list("position")).alias("positions"))
-    postings = placed.groupBy("term", "id").agg(*aggregates)
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("tokens").offsets.to_numpy()[1:]
+            start = 0
+            while start < batch.num_rows:
+                base = ends[start - 1] if start else batch.column("tokens").offsets[0].as_py()
+                stop = max(start + 1, int(np.searchsorted(ends, base + BATCH_TOKENS, "right")))
+                part = batch.slice(start, stop - start)
+                yield _postings_of(part.column("tokens"), part.column("id"), positions)
+                start = stop
+
+    schema = "term string, id string, tf int, length long"
+    postings = tokens.mapInArrow(
+        invert, schema + ", positions array<int>" if positions else schema
+    )
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lengths = tokens.select("id", F.size("tokens").cast("long").alias("length"))
     return Postings(postings, terms, lengths)
@@ -95,31 +143,25 @@ def bm25_topk(
     partially summed before the shuffle by query and document, and the rank limit is
     applied before the final one.
     """
-    asked = stage(
+    asked = (
         queries.select("query", F.explode(words(F.col("text"))).alias("term"))
         .groupBy("query", "term")
-        .agg(F.count(F.lit(1)).alias("asked")),
-        "asked",
+        .agg(F.count(F.lit(1)).alias("asked"))
     )
-    corpus = index.docs.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")
-    )
-    wanted = asked.join(index.terms, "term").crossJoin(F.broadcast(corpus))
+    n_docs, avg_length = index.docs.agg(F.count(F.lit(1)), F.avg("length")).first()
     weight = F.ln(
-        F.lit(1.0) + (F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
+        F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     ) * F.col("asked")
-    weighted = wanted.select("query", "term", weight.alias("weight"), "avg_length")
-    hits = (
-        index.postings.select("term", "id", "tf")
-        .join(broadcast_if_small(weighted), "term")
-        .join(index.docs, "id")
+    weighted = stage(
+        asked.join(index.terms, "term").select("query", "term", weight.alias("weight")), "asked"
+    )
+    hits = index.postings.select("term", "id", "tf", "length").join(
+        broadcast_if_small(weighted), "term"
     )
     norm = F.lit(k1) * (
-        F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.col("avg_length")
+        F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.lit(avg_length or 1.0)
     )
     part = F.col("weight") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
     scored = hits.groupBy("query", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
-    return (
-        scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
-    )
+    return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)

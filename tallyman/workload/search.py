@@ -58,7 +58,7 @@ def c1_to_search_docs(spark, sf_dir):
     )
 
 
-@work.query("c2_postings", "WITH " + TOKENS_SQL + "SELECT term, id, tf, positions FROM postings")
+@work.query("c2_postings", "WITH " + TOKENS_SQL + "SELECT term, id, tf, positions, length FROM postings JOIN docs USING (id)")
 def c2_postings(spark, sf_dir):
     postings = build_postings(corpus(spark, sf_dir)).postings
     return postings.withColumn(
