@@ -191,6 +191,7 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
     # Tasks get these, not the fold: it holds Columns, which stay on the driver.
     key_names, step, reads = list(keys), fold.step, list(fold.reads)
     schema = _with_key_types(chunked, keys, "_chunk long, _state array<bigint>")
+    arrow_schema = to_arrow_schema(schema)
     narrow = chunked.select(*dict.fromkeys([*keys, *fold.reads, "_pos", "_chunk"]))
 
     while True:
@@ -211,12 +212,14 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
         if not opened:
             return starts
 
-        def advance(rows: pa.Table, opened=opened) -> pa.Table:
+        current = dict(opened)
+
+        def advance(rows: pa.Table) -> pa.Table:
             chunk = rows["_chunk"][0].as_py()
             rows, columns = _in_order(rows, reads)
             out: list[dict] = []
             for a, b, key in _segments(rows, key_names):
-                before = opened.get((*key, chunk))
+                before = current.get((*key, chunk))
                 if before is not None:
                     after, _, _ = step(before, {n: c[a:b] for n, c in columns.items()})
                     out.append({
@@ -226,7 +229,6 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
                     })
             return pa.Table.from_pylist(out, schema=arrow_schema)
 
-        arrow_schema = to_arrow_schema(schema)
         moved = (
             narrow.filter(F.col("_chunk").isin([k[-1] for k in opened]))
             .groupBy("_chunk")

@@ -170,7 +170,7 @@ def next_fit(limit: int, max_buckets: int | None, carry: tuple[str, ...]) -> Fol
             base = (int(upto[i - 1]) if i else 0) - used
             # The first row past the limit, but not one that finds the bucket empty.
             over = np.searchsorted(upto, base + limit, side="right")
-            filled = np.searchsorted(upto, base, side="right") + 1
+            filled = 0 if used else np.searchsorted(upto, base, side="right") + 1
             at = np.searchsorted(rolling, max(i, over, filled))
             j = int(rolling[at]) if at < len(rolling) else n
             spots[i:j] = bucket
