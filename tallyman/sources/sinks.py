@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class RefusedError(ValueError):
@@ -34,7 +35,10 @@ def write_buckets(assigned: DataFrame, path: str, mode: str = "overwrite") -> No
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Written buckets; ``root`` stays the string it was, even one that looks like a number."""
+    schema = spark.read.parquet(path).schema
+    schema["root"].dataType = T.StringType()
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_checksums(df: DataFrame, path: str, mode: str = "overwrite") -> None:
