@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.functions import basename, entry_cost, parent, prefixes
+from tallyman.session import stage
 
 
 def with_directories(files: DataFrame) -> DataFrame:
@@ -39,28 +40,26 @@ def tree_cost(entries: DataFrame) -> DataFrame:
     )
 
 
-def subtree_sizes(entries: DataFrame) -> DataFrame:
-    """``(root, path, kind, bytes, nodes)`` per node, everything beneath it included.
+def directory_sizes(entries: DataFrame) -> DataFrame:
+    """``(root, path, kind, bytes, nodes)`` per directory, everything beneath it included.
 
-    The root itself is the row with path ``''``. Only directories are rolled up: file costs
-    are first summed per holding directory, so what is exploded to its ancestors is one row
-    per directory rather than one per entry. Partial aggregation collapses the shared top
-    levels before the shuffle, so a root holding everything is not a hot key.
+    The root itself is the row with path ``''``. File costs are first summed per holding
+    directory, so what is exploded to its ancestors is one row per directory rather than one
+    per entry. Partial aggregation collapses the shared top levels before the shuffle, so a
+    root holding everything is not a hot key.
     """
     costed = tree_cost(entries).select("root", "path", "kind", "cost")
-    is_dir = F.col("kind") == "dir"
-    held = costed.groupBy(
-        "root", F.when(is_dir, F.col("path")).otherwise(parent("path")).alias("dir")
-    ).agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("nodes"))
+    holder = F.when(F.col("kind") == "dir", F.col("path")).otherwise(parent("path"))
+    held = costed.groupBy("root", holder.alias("dir")).agg(
+        F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("nodes")
+    )
     above = F.concat(
         F.array(F.lit("")),
         F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(prefixes("dir")),
     )
-    root_cost = F.when(
-        F.col("path") == "",
-        entry_cost(F.lit(0), F.lit("dir"), member_name(F.col("root"), F.col("path"))),
-    ).otherwise(F.lit(0).cast("long"))
-    dirs = (
+    own_cost = entry_cost(F.lit(0), F.lit("dir"), member_name(F.col("root"), F.col("path")))
+    is_root = F.col("path") == ""
+    return (
         held.select("root", F.explode(above).alias("path"), "cost", "nodes")
         .groupBy("root", "path")
         .agg(F.sum("cost").alias("bytes"), F.sum("nodes").alias("nodes"))
@@ -68,35 +67,44 @@ def subtree_sizes(entries: DataFrame) -> DataFrame:
             "root",
             "path",
             F.lit("dir").alias("kind"),
-            (F.col("bytes") + root_cost).alias("bytes"),
-            (F.col("nodes") + F.when(F.col("path") == "", 1).otherwise(0)).alias("nodes"),
+            (F.col("bytes") + F.when(is_root, own_cost).otherwise(0)).alias("bytes"),
+            (F.col("nodes") + F.when(is_root, 1).otherwise(0)).alias("nodes"),
         )
     )
-    leaves = costed.filter(~is_dir).select(
-        "root", "path", "kind", F.col("cost").alias("bytes"), F.lit(1).cast("long").alias("nodes")
+
+
+def leaf_sizes(entries: DataFrame) -> DataFrame:
+    """The same columns for everything that is no directory; nothing is shuffled."""
+    return (
+        tree_cost(entries.filter(F.col("kind") != "dir"))
+        .select("root", "path", "kind", F.col("cost").alias("bytes"))
+        .withColumn("nodes", F.lit(1).cast("long"))
     )
-    return dirs.unionByName(leaves)
 
 
-def frontier(sizes: DataFrame, limit: int) -> DataFrame:
+def subtree_sizes(entries: DataFrame) -> DataFrame:
+    """Directory and leaf sizes together: every node of the tree."""
+    return directory_sizes(entries).unionByName(leaf_sizes(entries))
+
+
+def frontier(entries: DataFrame, limit: int) -> DataFrame:
     """The largest pieces that fit ``limit``: ``(root, path, kind, bytes, status)``.
 
     The root is always opened, and so is every directory over the limit. A node whose
     holder is opened is a piece unless it is a directory that is opened itself. Status is
     ``ok``, ``oversize_file`` (cannot be divided) or ``empty_dir`` (opened, nothing inside).
 
-    Opened directories are few, at most the total over the limit per level, and AQE turns
-    the semi join into a broadcast once their real size is known.
+    Directory sizes are computed once and staged. Opened directories are few, at most the
+    total over the limit per level, and staged too, so the semi join knows their size: when
+    they are small the leaves stay where they were read.
     """
-    is_dir = F.col("kind") == "dir"
     over = F.col("bytes") > F.lit(limit)
-    opened = sizes.filter(is_dir & (over | (F.col("path") == "")))
-    bare = opened.filter(F.col("nodes") == 1).select(
-        "root", "path", "kind", "bytes", F.lit("empty_dir").alias("status")
-    )
+    dirs = stage(directory_sizes(entries), "directories")
+    is_open = over | (F.col("path") == "")
+    opened = stage(dirs.filter(is_open), "opened")
+    candidates = dirs.filter(~is_open).unionByName(leaf_sizes(entries))
     pieces = (
-        sizes.filter((F.col("path") != "") & ~(is_dir & over))
-        .withColumn("holder", parent("path"))
+        candidates.withColumn("holder", parent("path"))
         .join(
             opened.select("root", F.col("path").alias("holder")), ["root", "holder"], "left_semi"
         )
@@ -108,6 +116,9 @@ def frontier(sizes: DataFrame, limit: int) -> DataFrame:
             F.when(over, "oversize_file").otherwise("ok").alias("status"),
         )
     )
+    bare = opened.filter(F.col("nodes") == 1).select(
+        "root", "path", "kind", "bytes", F.lit("empty_dir").alias("status")
+    )
     return pieces.unionByName(bare)
 
 
@@ -121,10 +132,11 @@ def expand_pieces(assigned: DataFrame, entries: DataFrame) -> DataFrame:
         "root", F.col("path").alias("piece"), "bucket"
     )
     dirs = entries.filter(F.col("kind") == "dir").select("root", "path", "kind")
-    homes = (
+    homes = stage(
         dirs.select("root", "path", F.explode(prefixes("path")).alias("piece"))
         .join(placed, ["root", "piece"])
-        .select("root", "path", "bucket")
+        .select("root", "path", "bucket"),
+        "homes",
     )
     leaves = entries.filter(F.col("kind") != "dir").select("root", "path", "kind")
     within = (

@@ -17,14 +17,14 @@ from tallyman.operators.integrity import (
     verify_pins,
 )
 from tallyman.operators.packing import pack_first_fit
-from tallyman.operators.rollup import frontier, subtree_sizes, with_ancestors
+from tallyman.operators.rollup import frontier, with_ancestors
 from tallyman.operators.select import (
     clear_world_writable,
     rebase_links,
     strip_definers,
     strip_paths,
 )
-from tallyman.session import scratch_path
+from tallyman.session import scratch_path, stage
 from tallyman.sources import (
     file_inventory,
     manifest_layers,
@@ -257,7 +257,7 @@ def s7_read_readings(spark, sf_dir):
     _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed WHERE bucket IS NOT NULL", TREE_LIMIT, TREE_BUCKETS),
 )
 def k1_write_buckets(spark, sf_dir):
-    pieces = frontier(subtree_sizes(tree_entries(spark, sf_dir)), TREE_LIMIT)
+    pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
     packed = pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS)
     path = scratch_path(spark, "buckets")
     write_buckets(packed.drop("status"), path)
@@ -599,7 +599,7 @@ WHERE a NOT IN (SELECT path FROM faulty)
 def i11_audit_assignment(spark, sf_dir):
     entries, _, members = tree_assignment(spark, sf_dir)
     digits = F.regexp_extract("path", r"doc_(\d+)\.txt$", 1)
-    full = with_ancestors(members).withColumn("doc", F.nullif(digits, F.lit("")).cast("long"))
+    full = stage(with_ancestors(members), "members").withColumn("doc", F.nullif(digits, F.lit("")).cast("long"))
 
     def by(n: int):
         return F.coalesce(F.pmod("doc", F.lit(n)) == 0, F.lit(False))
@@ -610,7 +610,7 @@ def i11_audit_assignment(spark, sf_dir):
         .unionByName(full.filter(by(53) & ~by(43)).withColumn("bucket", F.col("bucket") + 1))
         .unionByName(full.filter(by(47)).withColumn("path", F.concat("path", F.lit(".orig"))))
     )
-    return audit_assignment(entries, faulty).drop("root")
+    return audit_assignment(entries, stage(faulty, "faulty")).drop("root")
 
 
 @work.query(

@@ -248,7 +248,11 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as neighbouring byte ranges of one archive: ``(name, turns, start, end)``."""
+    """Conversations as neighbouring byte ranges of four archives.
+
+    ``(archive, name, turns, start, end)``. One distributed running sum over all archives,
+    less what came before each.
+    """
     per_conv = (
         table(spark, sf_dir, "conversations")
         .groupBy("conv_id")
@@ -256,24 +260,29 @@ def conversation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.octet_length("text").cast("long")).alias("bytes"),
             F.count(F.lit(1)).alias("turns"),
         )
+        .withColumn(
+            "archive", F.concat(F.lit("talks_"), F.pmod("conv_id", F.lit(4)).cast("string"))
+        )
     )
-    return with_running_sum(per_conv, ["conv_id"], F.col("bytes"), "end").select(
-        F.lit("talks").alias("archive"),
+    summed = with_running_sum(per_conv, ["archive", "conv_id"], F.col("bytes"), "upto")
+    base = summed.groupBy("archive").agg(F.min(F.col("upto") - F.col("bytes")).alias("base"))
+    return summed.join(base, "archive").select(
+        "archive",
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("name"),
         "turns",
-        (F.col("end") - F.col("bytes")).alias("start"),
-        "end",
+        (F.col("upto") - F.col("bytes") - F.col("base")).alias("start"),
+        (F.col("upto") - F.col("base")).alias("end"),
     )
 
 
 CONVERSATION_SQL = """
 per_conv AS (
-  SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS turns
-  FROM conversations GROUP BY 1),
+  SELECT conv_id, 'talks_' || (conv_id % 4) AS archive, sum(octet_length(encode(text)))::BIGINT AS bytes,
+         count(*) AS turns
+  FROM conversations GROUP BY ALL),
 talks AS (
-  SELECT 'conv_' || conv_id AS name, turns,
-         (sum(bytes) OVER (ORDER BY conv_id) - bytes)::BIGINT AS s,
-         (sum(bytes) OVER (ORDER BY conv_id))::BIGINT AS e
-  FROM per_conv),
-whole AS (SELECT max(e) AS total FROM talks)
+  SELECT archive, 'conv_' || conv_id AS name, turns, (sum(bytes) OVER w - bytes)::BIGINT AS s,
+         (sum(bytes) OVER w)::BIGINT AS e
+  FROM per_conv WINDOW w AS (PARTITION BY archive ORDER BY conv_id)),
+whole AS (SELECT archive, max(e) AS total FROM talks GROUP BY archive)
 """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyman.functions import parent
 from tallyman.operators.packing import (
     bucket_report,
     pack_first_fit,
@@ -19,6 +18,7 @@ from tallyman.operators.rollup import (
     tree_cost,
     with_ancestors,
 )
+from tallyman.plans import pack_archive, pack_tree
 from tallyman.session import stage
 from tallyman.workload.fixtures import (
     ARCHIVE_BUCKETS,
@@ -111,7 +111,7 @@ def p2_subtree_sizes(spark, sf_dir):
     _fill("WITH " + PIECES_SQL + " SELECT path, kind, bytes, status FROM pieces", TREE_LIMIT),
 )
 def p3_frontier(spark, sf_dir):
-    return frontier(subtree_sizes(tree_entries(spark, sf_dir)), TREE_LIMIT).drop("root")
+    return frontier(tree_entries(spark, sf_dir), TREE_LIMIT).drop("root")
 
 
 @work.query(
@@ -119,7 +119,7 @@ def p3_frontier(spark, sf_dir):
     _fill("WITH " + PIECES_SQL + " SELECT path, kind, bytes, status FROM pieces", 16_384),
 )
 def p3_frontier_oversize(spark, sf_dir):
-    return frontier(subtree_sizes(tree_entries(spark, sf_dir)), 16_384).drop("root")
+    return frontier(tree_entries(spark, sf_dir), 16_384).drop("root")
 
 
 @work.query(
@@ -127,7 +127,7 @@ def p3_frontier_oversize(spark, sf_dir):
     _fill(FIT_SQL + "SELECT path, bytes, bucket, status FROM packed", TREE_LIMIT, TREE_BUCKETS),
 )
 def p4_pack_first_fit(spark, sf_dir):
-    pieces = frontier(subtree_sizes(tree_entries(spark, sf_dir)), TREE_LIMIT)
+    pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
     return pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS).drop("root")
 
 
@@ -136,7 +136,7 @@ def p4_pack_first_fit(spark, sf_dir):
     _fill(FIT_SQL + "SELECT path, bytes, bucket, status FROM packed", 32_768, 40),
 )
 def p4_pack_overflow(spark, sf_dir):
-    pieces = frontier(subtree_sizes(tree_entries(spark, sf_dir)), 32_768)
+    pieces = frontier(tree_entries(spark, sf_dir), 32_768)
     return pack_first_fit(pieces, 32_768, 40).drop("root")
 
 
@@ -203,9 +203,8 @@ def p5_shard_by_key(spark, sf_dir):
 def tree_assignment(spark, sf_dir, limit=TREE_LIMIT, buckets=TREE_BUCKETS):
     """Entries of the tree and the members of each bucket, before ancestors are added."""
     entries = tree_entries(spark, sf_dir)
-    pieces = frontier(subtree_sizes(entries), limit)
-    packed = stage(pack_first_fit(pieces, limit, buckets), "packed")
-    return entries, packed, expand_pieces(packed, entries)
+    packed = stage(pack_first_fit(frontier(entries, limit), limit, buckets), "packed")
+    return entries, packed, stage(expand_pieces(packed, entries), "expanded")
 
 
 MEMBERS_SQL = FIT_SQL + """,
@@ -245,8 +244,9 @@ WHERE u.bucket NOT IN (SELECT bucket FROM members) AND t.kind = 'dir' AND t.path
     ),
 )
 def p7_pad_unused(spark, sf_dir):
-    entries, _, members = tree_assignment(spark, sf_dir)
-    return pad_unused(members, entries, TREE_BUCKETS).drop("root")
+    entries = tree_entries(spark, sf_dir)
+    packed = stage(pack_first_fit(frontier(entries, TREE_LIMIT), TREE_LIMIT, TREE_BUCKETS), "packed")
+    return pad_unused(packed, entries, TREE_BUCKETS).drop("root")
 
 
 @work.query(
@@ -284,9 +284,58 @@ FROM packed WHERE bucket IS NOT NULL GROUP BY bucket
     ),
 )
 def p8_bucket_report(spark, sf_dir):
-    pieces = frontier(subtree_sizes(tree_entries(spark, sf_dir)), TREE_LIMIT)
+    pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
     packed = pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS)
     return bucket_report(packed, TREE_BUCKETS).drop("root")
 
 
-__all__ = ["parent", "tree_assignment", "work"]
+@work.query(
+    "plan_pack_tree_members",
+    _fill(
+        MEMBERS_SQL
+        + """
+SELECT root, bucket, path, kind FROM full_members
+UNION ALL
+SELECT t.root, u.bucket::INTEGER, t.path, 'dir' FROM range(0, {buckets}) AS u(bucket), tree t
+WHERE u.bucket NOT IN (SELECT bucket FROM members) AND t.kind = 'dir' AND t.path NOT LIKE '%/%'
+""",
+        TREE_LIMIT,
+        TREE_BUCKETS,
+    ),
+)
+def plan_pack_tree_members(spark, sf_dir):
+    return pack_tree(tree_entries(spark, sf_dir), TREE_LIMIT, TREE_BUCKETS).members
+
+
+@work.query(
+    "plan_pack_tree_problems",
+    _fill(
+        MEMBERS_SQL
+        + """
+SELECT root, path, status AS category FROM packed WHERE status <> 'ok'
+UNION ALL SELECT root, path, 'missing' FROM tree WHERE path NOT IN (SELECT path FROM full_members)
+""",
+        32_768,
+        40,
+    ),
+)
+def plan_pack_tree_problems(spark, sf_dir):
+    return pack_tree(tree_entries(spark, sf_dir), 32_768, 40).problems
+
+
+@work.query(
+    "plan_pack_archive_report",
+    _fill(
+        NEXT_SQL
+        + """
+SELECT 'corpus' AS root, bucket, count(*)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes,
+       (SELECT count(DISTINCT bucket) FROM packed)::INTEGER AS used, {buckets} AS ceiling,
+       (SELECT sum(bytes) FROM packed)::BIGINT AS total_bytes
+FROM packed GROUP BY bucket
+""",
+        ARCHIVE_LIMIT,
+        ARCHIVE_BUCKETS,
+    ),
+)
+def plan_pack_archive_report(spark, sf_dir):
+    return pack_archive(archive_entries(spark, sf_dir), "", ARCHIVE_LIMIT, ARCHIVE_BUCKETS).report

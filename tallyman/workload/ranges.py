@@ -14,6 +14,8 @@ from tallyman.operators.ranges import (
     resolve_parts,
     sub_chunks,
 )
+from tallyman.plans import split_archives
+from tallyman.session import stage
 from tallyman.workload.fixtures import CONVERSATION_SQL, conversation_ranges, table
 from tallyman.workload.registry import Workload
 
@@ -25,70 +27,102 @@ SLICE = 9_000
 CUT_SQL = "WITH RECURSIVE " + CONVERSATION_SQL + f""",
 shield AS (SELECT * FROM talks WHERE turns >= 3),
 cuts AS (
-  SELECT 0::BIGINT AS pos
+  SELECT archive, 0::BIGINT AS pos FROM whole
   UNION ALL
-  SELECT coalesce((SELECT CASE WHEN s > c.pos THEN s ELSE e END FROM shield
-                   WHERE s < c.pos + {PART} AND c.pos + {PART} < e), c.pos + {PART})
-  FROM cuts c, whole w WHERE w.total - c.pos > {PART}),
+  SELECT c.archive,
+         coalesce((SELECT CASE WHEN s > c.pos THEN s ELSE e END FROM shield h
+                   WHERE h.archive = c.archive AND s < c.pos + {PART} AND c.pos + {PART} < e),
+                  c.pos + {PART})
+  FROM cuts c JOIN whole w ON w.archive = c.archive WHERE w.total - c.pos > {PART}),
 parts AS (
-  SELECT (row_number() OVER (ORDER BY pos) - 1)::INTEGER AS part, pos AS s,
-         coalesce(lead(pos) OVER (ORDER BY pos), (SELECT total FROM whole))::BIGINT AS e
-  FROM cuts)
+  SELECT c.archive, (row_number() OVER p - 1)::INTEGER AS part, pos AS s,
+         coalesce(lead(pos) OVER p, total)::BIGINT AS e
+  FROM cuts c JOIN whole w ON w.archive = c.archive
+  WINDOW p AS (PARTITION BY c.archive ORDER BY pos))
 """
 
 
-def _archive(talks):
+def _archives(talks):
     return talks.groupBy("archive").agg(F.max("end").alias("total"))
 
 
-def _parts(spark, sf_dir):
-    talks = conversation_ranges(spark, sf_dir)
-    archive = _archive(talks)
-    return archive, cut_ranges(archive, talks.filter("turns >= 3"), PART)
+def _split(spark, sf_dir):
+    talks = stage(conversation_ranges(spark, sf_dir), "talks")
+    shield = talks.filter("turns >= 3")
+    return split_archives(
+        _archives(talks), shield, F.concat("archive", F.lit(".zim")), PART, 16_000, 7_000
+    )
 
 
-@work.query("p9_cut_ranges", CUT_SQL + 'SELECT part, s AS "start", e AS "end" FROM parts')
+@work.query("p9_cut_ranges", CUT_SQL + 'SELECT archive, part, s AS "start", e AS "end" FROM parts')
 def p9_cut_ranges(spark, sf_dir):
-    return _parts(spark, sf_dir)[1].drop("archive")
+    talks = conversation_ranges(spark, sf_dir)
+    return cut_ranges(_archives(talks), talks.filter("turns >= 3"), PART)
 
 
 @work.query(
     "p10_containment",
     "WITH " + CONVERSATION_SQL + f""",
 slices AS (
-  SELECT k::INTEGER AS part, k * {SLICE} AS s, least((k + 1) * {SLICE}, total) AS e
-  FROM whole, range(0, (total + {SLICE} - 1) // {SLICE}) AS r(k))
-SELECT t.name, t.s AS "start", t.e AS "end",
+  SELECT archive, k::INTEGER AS part, k * {SLICE} AS s, least((k + 1) * {SLICE}, total) AS e
+  FROM whole w, LATERAL (SELECT unnest(range(0, (w.total + {SLICE} - 1) // {SLICE})) AS k) x)
+SELECT t.archive, t.name, t.s AS "start", t.e AS "end",
        max(CASE WHEN p.s <= t.s AND t.e <= p.e THEN p.part END)::INTEGER AS home,
        count(*)::BIGINT AS spans, min(p.part)::INTEGER AS first_part, max(p.part)::INTEGER AS last_part
-FROM talks t JOIN slices p ON p.s < t.e AND t.s < p.e
+FROM talks t JOIN slices p ON p.archive = t.archive AND p.s < t.e AND t.s < p.e
 GROUP BY ALL
 """,
 )
 def p10_containment(spark, sf_dir):
     talks = conversation_ranges(spark, sf_dir)
-    files = _archive(talks).select(F.col("archive").alias("name"), F.col("total").alias("bytes"))
+    files = _archives(talks).select(F.col("archive").alias("name"), F.col("total").alias("bytes"))
     parts = fixed_chunks(files, SLICE).select(
         F.col("name").alias("archive"),
         F.col("chunk").alias("part"),
         F.col("offset").alias("start"),
         (F.col("offset") + F.col("bytes")).alias("end"),
     )
-    return containment(parts, talks, SLICE).drop("archive")
+    return containment(parts, talks, SLICE)
+
+
+CHUNK_SQL = CUT_SQL + """,
+chunks AS (
+  SELECT archive, part, CASE WHEN b > 16000 THEN i END::BIGINT AS chunk,
+         (s + i * (b // n) + least(i, b % n))::BIGINT AS "offset",
+         (b // n + CASE WHEN i < b % n THEN 1 ELSE 0 END)::BIGINT AS bytes
+  FROM (SELECT *, e - s AS b, CASE WHEN e - s > 16000 THEN (e - s + 6999) // 7000 ELSE 1 END AS n
+        FROM parts) p, LATERAL (SELECT unnest(range(0, p.n)) AS i) x)
+"""
+
+
+@work.query("p11_sub_chunks", CHUNK_SQL + "SELECT * FROM chunks")
+def p11_sub_chunks(spark, sf_dir):
+    return sub_chunks(_split(spark, sf_dir).parts, 16_000, 7_000)
 
 
 @work.query(
-    "p11_sub_chunks",
+    "plan_split_files",
+    CHUNK_SQL + """
+SELECT *, archive || '.zim' || chr((97 + part // 26)::INTEGER) || chr((97 + part % 26)::INTEGER)
+          || CASE WHEN chunk IS NULL THEN '' ELSE '.part' || printf('%02d', chunk) END AS name,
+       'ok' AS status
+FROM chunks
+""",
+)
+def plan_split_files(spark, sf_dir):
+    return _split(spark, sf_dir).files
+
+
+@work.query(
+    "plan_split_homes",
     CUT_SQL + """
-SELECT part, CASE WHEN b > 16000 THEN i END::BIGINT AS chunk,
-       (s + i * (b // n) + least(i, b % n))::BIGINT AS "offset",
-       (b // n + CASE WHEN i < b % n THEN 1 ELSE 0 END)::BIGINT AS bytes
-FROM (SELECT *, e - s AS b, CASE WHEN e - s > 16000 THEN (e - s + 6999) // 7000 ELSE 1 END AS n
-      FROM parts) p, LATERAL (SELECT unnest(range(0, p.n)) AS i) x
+SELECT t.archive, t.name, t.s AS "start", t.e AS "end", p.part AS home, 1::BIGINT AS spans,
+       p.part AS first_part, p.part AS last_part
+FROM shield t JOIN parts p ON p.archive = t.archive AND p.s <= t.s AND t.e <= p.e
 """,
 )
-def p11_sub_chunks(spark, sf_dir):
-    return sub_chunks(_parts(spark, sf_dir)[1], 16_000, 7_000).drop("archive")
+def plan_split_homes(spark, sf_dir):
+    return _split(spark, sf_dir).homes
 
 
 @work.query(
@@ -210,13 +244,13 @@ def p15_assembly_plan(spark, sf_dir):
 @work.query(
     "p16_part_coverage",
     CUT_SQL + """
-SELECT 'talks' AS archive, count(*)::BIGINT AS parts, sum(e - s)::BIGINT AS bytes,
-       (SELECT total FROM whole) AS total, 0::BIGINT AS breaks, 'exact' AS status FROM parts
+SELECT archive, count(*)::BIGINT AS parts, sum(e - s)::BIGINT AS bytes, total, 0::BIGINT AS breaks,
+       'exact' AS status
+FROM parts JOIN whole USING (archive) GROUP BY archive, total
 """,
 )
 def p16_part_coverage(spark, sf_dir):
-    archive, parts = _parts(spark, sf_dir)
-    return part_coverage(parts, archive)
+    return _split(spark, sf_dir).coverage
 
 
 @work.query(

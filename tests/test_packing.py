@@ -130,7 +130,7 @@ def test_pack_first_fit_matches_descent_and_fold(spark, chunk_rows):
     trees = {r: random_tree(s, r, n) for s, (r, n) in enumerate([("x/r0", 400), ("r1", 60), ("r2", 5)])}
     entries = spark.createDataFrame([e for t in trees.values() for e in t], ENTRY)
     limit, most = 60_000, 6
-    pieces = rollup.frontier(rollup.subtree_sizes(entries), limit)
+    pieces = rollup.frontier(entries, limit)
     packed = packing.pack_first_fit(pieces, limit, most, chunk_rows)
     got = {(r.root, r.path): (r.bytes, r.bucket, r.status) for r in packed.collect()}
     want = {}
@@ -183,14 +183,14 @@ def test_refusals(spark, rows):
     entries = spark.createDataFrame(
         [("r", "big.bin", "file", 500 * 1024), ("r", "d", "dir", 0), ("r", "d/ok", "file", 10)], ENTRY
     )
-    pieces = rollup.frontier(rollup.subtree_sizes(entries), limit)
+    pieces = rollup.frontier(entries, limit)
     assert rows(pieces, "path", "status") == [("big.bin", "oversize_file"), ("d", "ok")]
     packed = packing.pack_first_fit(pieces, limit, 2)
     with pytest.raises(RefusedError, match="oversize_file x1"):
         require_ok(packed)
     four = spark.createDataFrame([("r", f"f{i}", "file", 100 * 1024) for i in range(4)], ENTRY)
     packed = packing.pack_first_fit(
-        rollup.frontier(rollup.subtree_sizes(four), 150 * 1024), 150 * 1024, 2
+        rollup.frontier(four, 150 * 1024), 150 * 1024, 2
     )
     with pytest.raises(RefusedError, match="overflow x2"):
         require_ok(packed)
@@ -199,7 +199,7 @@ def test_refusals(spark, rows):
 def test_an_opened_directory_without_children(spark, rows):
     # Only a long name makes a bare directory exceed a limit this small.
     entries = spark.createDataFrame([("r", "d" * 150, "dir", 0), ("r", "f", "file", 0)], ENTRY)
-    pieces = rollup.frontier(rollup.subtree_sizes(entries), 600)
+    pieces = rollup.frontier(entries, 600)
     assert rows(pieces, "path", "status") == [("d" * 150, "empty_dir"), ("f", "ok")]
 
 
@@ -211,13 +211,13 @@ def test_root_is_opened_even_when_it_fits(spark, rows):
     assert rows(sizes, "path", "bytes", "nodes") == [
         ("", 512 + 512 + 1024 + 512, 4), ("a", 1536, 2), ("a/f", 1024, 1), ("b", 512, 1),
     ]
-    assert rows(rollup.frontier(sizes, 10**9), "path") == [("a",), ("b",)]
+    assert rows(rollup.frontier(entries, 10**9), "path") == [("a",), ("b",)]
 
 
 def test_members_round_trip_and_audit_clean(spark, tmp_path, rows):
     entries = spark.createDataFrame(random_tree(9, "r", 200), ENTRY)
     limit = 50_000
-    pieces = rollup.frontier(rollup.subtree_sizes(entries), limit)
+    pieces = rollup.frontier(entries, limit)
     packed = require_ok(packing.pack_first_fit(pieces, limit, 500, chunk_rows=16))
     members = rollup.with_ancestors(rollup.expand_pieces(packed, entries))
     assert audit_assignment(entries, members).count() == 0
@@ -265,6 +265,6 @@ def test_chunk_rows_must_be_a_power_of_two(spark):
 
 def test_empty_input(spark):
     none = spark.createDataFrame([], ENTRY)
-    packed = packing.pack_first_fit(rollup.frontier(rollup.subtree_sizes(none), 1000), 1000, 2)
+    packed = packing.pack_first_fit(rollup.frontier(none, 1000), 1000, 2)
     assert packed.count() == 0
     assert ordered.with_row_number(none, ["path"]).count() == 0
