@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyman.operators.catalog_rules import validate_catalog
 from tallyman.operators.provenance import input_set_digest, lock_decision, reuse_reason
 from tallyman.operators.select import lazy_split, order_by_cost
+from tallyman.plans import plan_fetch, plan_pull
 from tallyman.session import scratch_path
 from tallyman.sources import catalog_tables, read_catalog, read_lock
 from tallyman.workload.files import LOCK_SQL, written_lock
@@ -293,3 +294,110 @@ def i12_validate_with_inventory(spark, sf_dir):
         )
     )
     return validate_catalog(rows, folders)
+
+
+@work.query(
+    "plan_fetch",
+    DATASETS_SQL + """
+SELECT filename, sha256 AS expected,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 6 = 0 THEN 'other' ELSE sha256 END AS actual,
+       CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 6 = 0 THEN 'mismatch' ELSE 'verified' END
+         AS status,
+       CASE WHEN p_partkey % 5 = 0 THEN 'fetch' WHEN p_partkey % 6 = 0 THEN 'quarantine_and_fetch' ELSE 'use' END
+         AS action
+FROM datasets WHERE NOT prepare_input
+""",
+)
+def plan_fetch_query(spark, sf_dir):
+    rows = catalog(spark, sf_dir)
+    key = F.regexp_extract("filename", r"^d(\d+)_", 1).cast("long")
+    files = (
+        catalog_tables(rows)["datasets"]
+        .filter(F.pmod(key, F.lit(5)) != 0)
+        .select(
+            "filename",
+            F.when(F.pmod(key, F.lit(6)) == 0, "other").otherwise(F.col("sha256")).alias("sha256"),
+        )
+    )
+    return plan_fetch(rows, files)
+
+
+def _pull(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn(
+        "ref", F.concat(F.lit("reg/img:"), F.col("p_partkey").cast("string"))
+    )
+    by = lambda n: F.pmod("p_partkey", F.lit(n))
+
+    def layer(n: int):
+        return F.struct(
+            hex_digest(F.concat("p_name", F.lit(str(n)))).alias("digest"),
+            (F.col("p_size") * 100 + n).cast("long").alias("size"),
+            F.create_map(F.lit("org.opencontainers.image.title"), F.lit("ab"[n] + ".bin")).alias(
+                "annotations"
+            ),
+        )
+
+    layers = F.array(layer(0), layer(1))
+    manifests = part.filter(by(4) != 0).select(
+        "ref",
+        "p_partkey",
+        F.to_json(
+            F.struct(
+                F.when(by(13) != 0, F.lit("application/x")).alias("artifactType"),
+                F.when(by(9) != 0, layers).alias("layers"),
+            )
+        ).alias("manifest"),
+    )
+    pin = F.when(by(17) == 0, F.lit("sha256:old")).otherwise(
+        F.concat(F.lit("sha256:"), hex_digest(F.coalesce("manifest", F.lit(""))))
+    )
+    lock = (
+        part.filter(by(5) != 0)
+        .join(manifests.select("ref", "manifest"), "ref", "left")
+        .select("ref", F.when(by(7) != 0, pin).alias("digest"))
+    )
+    local = part.filter(by(3) != 0).select(
+        "ref",
+        F.lit("a.bin").alias("title"),
+        (F.col("p_size") * F.when(by(3) == 1, 50).otherwise(100)).cast("long").alias("have"),
+        hex_digest(F.concat("p_name", F.lit("0"))).alias("have_digest"),
+    )
+    return plan_pull(part, manifests, lock, local)
+
+
+PULL_SQL = """
+WITH facts AS (
+  SELECT 'reg/img:' || p_partkey AS ref, p_partkey AS k, p_size::BIGINT AS p_size,
+         CASE WHEN p_partkey % 4 = 0 AND p_partkey % 5 <> 0 THEN 'pinned_but_missing'
+              WHEN p_partkey % 4 = 0 THEN 'not_cached' WHEN p_partkey % 13 = 0 THEN 'not_an_artifact'
+              WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 17 = 0 THEN 'digest_moved'
+              WHEN p_partkey % 9 = 0 THEN 'empty_artifact' WHEN p_partkey % 5 = 0 THEN 'unpinned'
+              WHEN p_partkey % 7 = 0 THEN 'pinned_without_digest' ELSE 'digest_matches' END AS reason
+  FROM part),
+decisions AS (
+  SELECT *, CASE WHEN reason IN ('unpinned', 'pinned_without_digest', 'digest_matches') THEN 'pull'
+                 WHEN reason = 'not_cached' THEN 'derive' ELSE 'fatal' END AS decision FROM facts)
+"""
+
+
+@work.query(
+    "plan_pull_decisions", PULL_SQL + "SELECT ref, decision, false AS warned, reason FROM decisions"
+)
+def plan_pull_decisions(spark, sf_dir):
+    return _pull(spark, sf_dir).decisions
+
+
+@work.query(
+    "plan_pull_transfers",
+    PULL_SQL + """
+SELECT ref, title, action, CASE WHEN action = 'resume' THEN 50 * p_size ELSE 0 END AS "offset",
+       CASE action WHEN 'skip' THEN 0 WHEN 'resume' THEN 50 * p_size ELSE size END AS bytes_left
+FROM (
+  SELECT *, 'a.bin' AS title, 100 * p_size AS size,
+         CASE k % 3 WHEN 0 THEN 'fetch' WHEN 1 THEN 'resume' ELSE 'skip' END AS action FROM decisions
+  UNION ALL SELECT *, 'b.bin', 100 * p_size + 1, 'fetch' FROM decisions)
+WHERE decision = 'pull'
+""",
+)
+def plan_pull_transfers(spark, sf_dir):
+    return _pull(spark, sf_dir).transfers
