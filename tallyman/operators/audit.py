@@ -10,6 +10,13 @@ from tallyman.functions import normalise, parent, prefixes
 # The privilege bits and the permission of others.
 SETUID_SETGID = 0o6000
 WORLD_WRITABLE = 0o002
+# The categories.
+ESCAPING_PATH = "absolute or traversing path"
+ESCAPING_LINK = "symlink escapes the tree"
+HARD_LINK = "hard link"
+ODD_KIND = "not a regular file, directory or symlink"
+PRIVILEGED = "setuid/setgid"
+OPEN_TO_ALL = "world-writable"
 #: Examples kept per category.
 EXAMPLES = 3
 PROFILES = ("archive", "tree")
@@ -25,7 +32,6 @@ def entry_problems(profile: str) -> Column:
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
     path, kind, mode, link = F.col("path"), F.col("kind"), F.col("mode"), F.col("link_target")
-    regular = kind.isin("file", "dir")
     privileged = mode.bitwiseAND(F.lit(SETUID_SETGID)) != 0
     holder = parent(path)
     target = normalise(F.when(holder == "", link).otherwise(F.concat(holder, F.lit("/"), link)))
@@ -38,37 +44,24 @@ def entry_problems(profile: str) -> Column:
             test, F.struct(F.lit(category).alias("category"), detail.alias("detail"))
         )
 
+    climbs = path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
+    known = kind.isin("file", "dir", "symlink", "hardlink")
     found = [
-        when(
-            path.startswith("/") | F.array_contains(F.split(path, "/"), ".."),
-            "absolute or traversing path",
-            path,
-        ),
-        when((kind == "symlink") & escapes, "symlink escapes the tree", arrow),
+        when(climbs, ESCAPING_PATH, path),
+        when((kind == "symlink") & escapes, ESCAPING_LINK, arrow),
+        when(~known, ODD_KIND, path),
     ]
     if profile == "archive":
         found += [
-            when(kind == "hardlink", "hard link", arrow),
-            when(
-                ~kind.isin("file", "dir", "symlink", "hardlink"),
-                "not a regular file, directory or symlink",
-                path,
-            ),
-            when((kind == "file") & privileged, "setuid/setgid", moded),
+            when(kind == "hardlink", HARD_LINK, arrow),
+            when((kind == "file") & privileged, PRIVILEGED, moded),
         ]
     else:
+        moded_kind = kind.isin("file", "dir", "hardlink")
+        open_to_all = mode.bitwiseAND(F.lit(WORLD_WRITABLE)) != 0
         found += [
-            when(
-                ~kind.isin("file", "dir", "symlink", "hardlink"),
-                "not a regular file, directory or symlink",
-                path,
-            ),
-            when((regular | (kind == "hardlink")) & privileged, "setuid/setgid", moded),
-            when(
-                (regular | (kind == "hardlink")) & (mode.bitwiseAND(F.lit(WORLD_WRITABLE)) != 0),
-                "world-writable",
-                moded,
-            ),
+            when(moded_kind & privileged, PRIVILEGED, moded),
+            when(moded_kind & open_to_all, OPEN_TO_ALL, moded),
         ]
     return F.array_compact(F.array(*found))
 

@@ -6,7 +6,7 @@ spreads over the cluster.
 A fold (first-fit, next-fit, cutting, stall detection) is sequential by nature. Here the
 rows are range-sorted once and cut into bounded chunks. The driver carries only the fold's
 state, a handful of integers per key, from chunk to chunk. Chunks whose effect follows from
-their summary are skipped without being read; the others are folded one at a time in a
+their summary are skipped without being read; the others are folded a few at a time in a
 task. When every chunk's starting state is known, one parallel job produces the output.
 Keys that fit in one chunk, the usual case, need no rounds at all.
 """
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyman.session import stage
+from tallyman.session import small_table, stage
 
 #: Rows one fold task may hold. A power of two, so that a chunk never spans partitions.
 CHUNK_ROWS = 1 << 18
+#: Neighbouring chunks of a key folded in one round, a few narrow columns of each.
+ROUND_CHUNKS = 8
 _PARTITION_BITS = 33
 
 State = tuple[int, ...]
@@ -60,7 +62,6 @@ def _partition_offsets(chunked: DataFrame, amount: Column) -> DataFrame:
 
     One row per partition of the sort, so it is collected and handed back as a small table.
     """
-    spark = chunked.sparkSession
     totals = sorted(
         (row.part, row.total)
         for row in chunked.groupBy(F.shiftright("_pos", _PARTITION_BITS).alias("part"))
@@ -71,7 +72,7 @@ def _partition_offsets(chunked: DataFrame, amount: Column) -> DataFrame:
     for part, total in totals:
         rows.append((part, running))
         running += total
-    return spark.createDataFrame(rows, "_part long, _base long")
+    return small_table(chunked.sparkSession, rows, "_part long, _base long")
 
 
 def with_row_number(
@@ -86,7 +87,7 @@ def with_row_number(
     within = F.col("_pos").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     return (
         chunked.withColumn("_part", F.shiftright("_pos", _PARTITION_BITS))
-        .join(F.broadcast(base), "_part")
+        .join(base, "_part")
         .withColumn(name, F.col("_base") + within + F.lit(1))
         .drop("_part", "_base", "_pos", "_chunk")
     )
@@ -110,10 +111,10 @@ def with_running_sum(
     for chunk, total in sorted((row[0], row.total) for row in totals):
         rows.append((chunk, running))
         running += total
-    before = df.sparkSession.createDataFrame(rows, "_chunk long, _base long")
+    before = small_table(df.sparkSession, rows, "_chunk long, _base long")
     within = Window.partitionBy("_chunk").orderBy("_pos")
     return (
-        chunked.join(F.broadcast(before), "_chunk")
+        chunked.join(before, "_chunk")
         .withColumn(name, F.col("_base") + F.sum("_amount").over(within))
         .drop("_chunk", "_pos", "_base", "_amount")
     )
@@ -173,8 +174,9 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
     """``(key..., chunk) -> state`` for every chunk of the keys that have several.
 
     The driver sees one summary row per chunk, i.e. rows / chunk_rows of them, and only of
-    keys that span chunks. Each round opens at most one chunk per key and reads only the
-    columns the fold reads.
+    keys that span chunks. A round opens, per key, the next ``ROUND_CHUNKS`` chunks from the
+    first undecided one on. It reads only the columns the fold reads and returns the state
+    after each chunk.
     """
     per_chunk = chunked.groupBy(*keys, "_chunk").agg(*(fold.summary or [F.count("_pos").alias("n")]))
     facts = [c for c in per_chunk.columns if c not in keys]
@@ -193,52 +195,55 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
     schema = _with_key_types(chunked, keys, "_chunk long, _state array<bigint>")
     arrow_schema = to_arrow_schema(schema)
     narrow = chunked.select(*dict.fromkeys([*keys, *fold.reads, "_pos", "_chunk"]))
+    wanted = _with_key_types(chunked, keys, "_chunk long")
+    spark = chunked.sparkSession
+    after: dict = {}
 
     while True:
         opened: dict = {}
+        plan: list[tuple] = []
         for key, chunks in todo.items():
             while at[key] < len(chunks):
                 chunk = chunks[at[key]]
-                starts[(*key, chunk["_chunk"])] = state[key]
-                after = fold.skip(state[key], chunk)
+                number = chunk["_chunk"]
+                starts[(*key, number)] = state[key]
                 if at[key] == len(chunks) - 1:
                     at[key] += 1
-                elif after is None:
-                    opened[(*key, chunk["_chunk"])] = state[key]
                     break
-                else:
-                    state[key] = tuple(after)
-                    at[key] += 1
+                known = after.pop((*key, number), None) or fold.skip(state[key], chunk)
+                if known is None:
+                    opened[key] = state[key]
+                    near = chunks[at[key] : at[key] + ROUND_CHUNKS]
+                    plan += [(*key, c["_chunk"]) for c in near]
+                    break
+                state[key] = tuple(known)
+                at[key] += 1
         if not opened:
             return starts
-
         current = dict(opened)
 
         def advance(rows: pa.Table) -> pa.Table:
-            chunk = rows["_chunk"][0].as_py()
             rows, columns = _in_order(rows, reads)
-            out: list[dict] = []
-            for a, b, key in _segments(rows, key_names):
-                before = current.get((*key, chunk))
-                if before is not None:
-                    after, _, _ = step(before, {n: c[a:b] for n, c in columns.items()})
-                    out.append({
-                        **dict(zip(key_names, key)),
-                        "_chunk": chunk,
-                        "_state": [int(v) for v in after],
-                    })
+            running, out = None, []
+            for a, b, (*key, chunk) in _segments(rows, [*key_names, "_chunk"]):
+                running = current[tuple(key)] if running is None else running
+                running, _, _ = step(running, {n: c[a:b] for n, c in columns.items()})
+                out.append({
+                    **dict(zip(key_names, key)),
+                    "_chunk": chunk,
+                    "_state": [int(v) for v in running],
+                })
             return pa.Table.from_pylist(out, schema=arrow_schema)
 
         moved = (
-            narrow.filter(F.col("_chunk").isin([k[-1] for k in opened]))
-            .groupBy("_chunk")
+            narrow.filter(F.col("_chunk").isin(sorted({p[-1] for p in plan})))
+            .join(small_table(spark, plan, wanted), [*keys, "_chunk"])
+            .groupBy(*keys)
             .applyInArrow(advance, schema)
             .collect()
         )
         for row in moved:
-            key = tuple(row[k] for k in keys)
-            state[key] = tuple(row["_state"])
-            at[key] += 1
+            after[(*(row[k] for k in keys), row["_chunk"])] = tuple(row["_state"])
 
 
 def run_fold(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.functions import chunk_suffix, part_letters
-from tallyman.operators.ordered import CHUNK_ROWS, Fold, ordered_chunks, run_fold
+from tallyman.operators.ordered import (
+    CHUNK_ROWS,
+    Fold,
+    ordered_chunks,
+    run_fold,
+    with_row_number,
+)
 
 
 def cutting(part_bytes: int) -> Fold:
@@ -55,8 +61,9 @@ def cut_ranges(
     would fall inside a range moves back to its start; a range that already starts the part
     becomes a part of its own, however long.
 
-    Only cuts near ranges need the fold. The regular cuts after an archive's last range are
-    arithmetic, and the parts are numbered per archive over the cuts, which are few.
+    Only cuts near ranges need the fold; the regular cuts after an archive's last range are
+    arithmetic. Parts are numbered over a distributed sort and joined to the cut before, so
+    an archive of very many parts is no hot key.
     """
     rows = protected.join(archives, "archive").select("archive", "start", "end", "total")
     chunked = ordered_chunks(rows, ["archive", "start"], chunk_rows, "ranges")
@@ -72,12 +79,18 @@ def cut_ranges(
     )
     ends = archives.select("archive", F.col("total").alias("cut"))
     edges = near.unionByName(after).unionByName(ends)
-    order = Window.partitionBy("archive").orderBy("cut")
-    return edges.select(
-        "archive",
-        (F.row_number().over(order) - 1).alias("part"),
-        F.coalesce(F.lag("cut").over(order), F.lit(0).cast("long")).alias("start"),
-        F.col("cut").alias("end"),
+    numbered = with_row_number(edges, ["archive", "cut"], "n", chunk_rows)
+    first = numbered.groupBy("archive").agg(F.min("n").alias("first"))
+    before = numbered.select("archive", (F.col("n") + 1).alias("n"), F.col("cut").alias("start"))
+    return (
+        numbered.join(before, ["archive", "n"], "left")
+        .join(first, "archive")
+        .select(
+            "archive",
+            (F.col("n") - F.col("first")).cast("int").alias("part"),
+            F.coalesce("start", F.lit(0).cast("long")).alias("start"),
+            F.col("cut").alias("end"),
+        )
     )
 
 

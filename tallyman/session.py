@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows a side may have before it is no longer hinted for broadcast.
 BROADCAST_ROWS = 50_000
@@ -50,8 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/tallyman/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder.
+
+    That part is removed when the session's JVM ends in good order.
+    """
+    own = f"{shared_dir(spark)}/tallyman/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -74,3 +83,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """Driver rows as a join side, hinted for broadcast while they are few."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table

@@ -21,7 +21,6 @@ from tallyman.session import stage
 
 LISTED = "path string, kind string, length long, modified_us long"
 HASHED = "path string, length long, modified_us long, sha256 string, status string"
-READ_BYTES = 4 << 20
 ROWS_PER_BATCH = 10_000
 
 Batches = Iterator[pa.RecordBatch]
@@ -57,14 +56,11 @@ def _listing(root: str) -> Callable[[Batches], Batches]:
 
 
 def _digest(store: fs.FileSystem, path: str) -> str | None:
-    found = hashlib.sha256()
     try:
         with store.open_input_stream(path) as stream:
-            while block := stream.read(READ_BYTES):
-                found.update(block)
+            return hashlib.file_digest(stream, "sha256").hexdigest()
     except OSError:
         return None
-    return found.hexdigest()
 
 
 def _hashing(root: str) -> Callable[[Batches], Batches]:

@@ -83,8 +83,9 @@ def r2_resolve_attempts(spark, sf_dir):
     k = F.col("k")
     attempts = (
         events(spark, sf_dir)
-        .withColumn("k", F.row_number().over(order) - 1)
-        .filter(k < 6)
+        .withColumn("nth", F.row_number().over(order))
+        .filter(F.col("nth") <= 6)
+        .withColumn("k", F.col("nth") - 1)
         .select(
             F.col("user_id").alias("dataset"),
             F.expr("CAST(k div 3 AS int)").alias("url_idx"),
