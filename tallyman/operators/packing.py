@@ -141,10 +141,8 @@ def pack_first_fit(
     are open is ``overflow``; pieces that arrive with a status other than ``ok`` keep it
     and take no bucket. Tree order compares paths component by component.
     """
-    good = pieces.filter(F.col("status") == "ok").select(
-        "root", "path", "bytes", components("path").alias("_parts")
-    )
-    chunked = ordered_chunks(good, ["root", "_parts"], chunk_rows, "pieces").drop("_parts")
+    good = pieces.filter(F.col("status") == "ok").select("root", "path", "bytes")
+    chunked = ordered_chunks(good, ["root", components("path")], chunk_rows, "pieces")
     refused = pieces.filter(F.col("status") != "ok").select(
         "root", "path", "bytes", F.lit(None).cast("int").alias("bucket"), "status"
     )

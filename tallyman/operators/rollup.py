@@ -13,17 +13,23 @@ from tallyman.functions import basename, entry_cost, parent, prefixes
 from tallyman.session import stage
 
 
-def with_directories(files: DataFrame) -> DataFrame:
-    """``files`` plus one ``dir`` row, size 0, for every directory their paths imply."""
-    dirs = (
-        files.select("root", parent("path").alias("path"))
+def with_directories(entries: DataFrame) -> DataFrame:
+    """``entries`` plus a ``dir`` row, size 0, for every directory only their paths imply."""
+    rows = entries.select("root", "path", "kind", F.col("size").cast("long"))
+    stated = rows.filter(F.col("kind") == "dir").select("root", "path")
+    implied = (
+        rows.select("root", parent("path").alias("path"))
         .filter(F.col("path") != "")
         .distinct()
         .select("root", F.explode(prefixes("path")).alias("path"))
         .distinct()
-        .select("root", "path", F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("size"))
+        .join(stated, ["root", "path"], "left_anti")
+    )
+    return rows.unionByName(
+        implied.select(
+            "root", "path", F.lit("dir").alias("kind"), F.lit(0).cast("long").alias("size")
+        )
     )
-    return files.select("root", "path", "kind", F.col("size").cast("long")).unionByName(dirs)
 
 
 def member_name(root: Column, path: Column) -> Column:
@@ -43,12 +49,13 @@ def tree_cost(entries: DataFrame) -> DataFrame:
 def directory_sizes(entries: DataFrame) -> DataFrame:
     """``(root, path, kind, bytes, nodes)`` per directory, everything beneath it included.
 
-    The root itself is the row with path ``''``. File costs are first summed per holding
+    The root itself is the row with path ``''``, whether or not the entries state it. File
+    costs are first summed per holding
     directory, so what is exploded to its ancestors is one row per directory rather than one
     per entry. Partial aggregation collapses the shared top levels before the shuffle, so a
     root holding everything is not a hot key.
     """
-    costed = tree_cost(entries).select("root", "path", "kind", "cost")
+    costed = tree_cost(entries.filter(F.col("path") != ""))
     holder = F.when(F.col("kind") == "dir", F.col("path")).otherwise(parent("path"))
     held = costed.groupBy("root", holder.alias("dir")).agg(
         F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("nodes")

@@ -48,6 +48,15 @@ class Postings:
     terms: DataFrame
     docs: DataFrame
 
+    def staged(self) -> Postings:
+        """The same index with its postings and lengths written once, for several uses."""
+        postings = stage(self.postings, "postings")
+        return Postings(postings, _document_frequencies(postings), stage(self.docs, "lengths"))
+
+
+def _document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
 def _postings_of(tokens: pa.ListArray, ids: pa.Array, positions: bool) -> pa.RecordBatch:
     """Group each document's tokens by term with one stable sort over the whole batch."""
@@ -99,7 +108,7 @@ def build_postings(docs: DataFrame, positions: bool = True) -> Postings:
     postings = tokens.mapInArrow(
         invert, schema + ", positions array<int>" if positions else schema
     )
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = _document_frequencies(postings)
     lengths = tokens.select("id", F.size("tokens").cast("long").alias("length"))
     return Postings(postings, terms, lengths)
 

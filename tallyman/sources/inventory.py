@@ -104,7 +104,7 @@ def file_inventory(
         level = folders.repartition(spark.sparkContext.defaultParallelism)
     if glob:
         name = F.substring_index("path", "/", -1)
-        found = found.filter(name.rlike(fnmatch.translate(glob)))
+        found = found.filter(name.rlike("^" + fnmatch.translate(glob)))
     shown = F.concat(F.lit(path.rstrip("/")), F.substring("path", len(base.rstrip("/")) + 1, 1 << 30))
     about = [shown.alias("path"), "length", F.timestamp_micros("modified_us").alias("modified")]
     if not hashes:

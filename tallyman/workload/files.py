@@ -92,6 +92,27 @@ def s2_file_inventory(spark, sf_dir):
     )
 
 
+@work.query(
+    "s2_inventory_digests",
+    """
+SELECT octet_length(encode(body))::BIGINT AS length, sha256(body) AS sha256, 'hashed' AS status
+FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body
+      FROM documents GROUP BY doc_id // 20)
+""",
+)
+def s2_inventory_digests(spark, sf_dir):
+    path = scratch_path(spark, "files")
+    (
+        table(spark, sf_dir, "documents")
+        .groupBy(F.expr("doc_id div 20").alias("g"))
+        .agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
+        .select(F.array_join(F.transform("docs", lambda d: d["text"]), "\n").alias("value"))
+        .write.option("maxRecordsPerFile", 1)
+        .text(path)
+    )
+    return file_inventory(spark, path, glob="part-*").select("length", "sha256", "status")
+
+
 @work.query(
     "s3_read_checksums",
     f"""

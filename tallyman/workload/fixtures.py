@@ -98,9 +98,8 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(by(89), F.lit("../x"))
         .when(by(83), F.lit("../../../../../etc/x"))
         .alias("link_target"),
-        components("path").alias("_parts"),
     )
-    return with_row_number(shaped, ["_parts"]).drop("_parts")
+    return with_row_number(shaped, [components("path")])
 
 
 ARCHIVE_SQL = TREE_SQL + """,

@@ -93,7 +93,8 @@ SELECT query, id, score, position FROM ranked WHERE position <= 10
 @work.query("c3_bm25_topk", BM25_SQL)
 def c3_bm25_topk(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return bm25_topk(build_postings(corpus(spark, sf_dir), positions=False), queries, 10)
+    index = build_postings(corpus(spark, sf_dir), positions=False).staged()
+    return bm25_topk(index, queries, 10)
 
 
 @work.query("c3_bm25_stored_index", BM25_SQL)

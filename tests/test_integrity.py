@@ -28,7 +28,7 @@ ENTRY = "root string, seq long, path string, kind string, mode int, link_target
 def test_inventory_holds_every_file(spark, tmp_path, rows):
     """Empty and hidden files are files too; a link back up is not followed."""
     (tmp_path / "d" / "e").mkdir(parents=True)
-    files = {"d/a b": b"hello", "d/.hidden": b"h", "_under": b"u", "empty": b"", "d/e/deep.bin": b"x" * 9}
+    files = {"d/a b": b"hello", "d/.hidden": b"h", "d/xdeep.bin": b"", "_under": b"u", "empty": b"", "d/e/deep.bin": b"x" * 9}
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     (tmp_path / "d" / "loop").symlink_to(tmp_path)
@@ -37,7 +37,7 @@ def test_inventory_holds_every_file(spark, tmp_path, rows):
         name: (len(c), hashlib.sha256(c).hexdigest(), "hashed") for name, c in files.items()
     }
     assert all(r.modified is not None for r in got.values())
-    listed = file_inventory(spark, str(tmp_path), hashes=False, glob="*.bin")
+    listed = file_inventory(spark, str(tmp_path), hashes=False, glob="dee?.bin")
     assert rows(listed, "length", "sha256", "status") == [(9, None, "listed")]
 
 
