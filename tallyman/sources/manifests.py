@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the annotation that names the file a layer becomes.
 TITLE_KEY = "org.opencontainers.image.title"
 
-MANIFEST_SCHEMA = """
-layers array<struct<digest: string, size: bigint, annotations: map<string, string>>>,
-_corrupt string
-"""
+LAYERS = "array<struct<digest: string, size: bigint, annotations: map<string, string>>>"
+MANIFEST_SCHEMA = f"layers {LAYERS}, _corrupt string"
+
+
+def _title(layer: Column) -> Column:
+    return F.try_element_at(layer["annotations"], F.lit(TITLE_KEY))
 
 
 def manifest_layers(manifests: DataFrame, ref: str = "ref", text: str = "manifest") -> DataFrame:
@@ -27,15 +29,14 @@ def manifest_layers(manifests: DataFrame, ref: str = "ref", text: str = "manifes
             F.col(text), MANIFEST_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}
         ).alias("m"),
     )
-    title = lambda layer: F.try_element_at(layer["annotations"], F.lit(TITLE_KEY))
     titled = F.filter(
         F.transform(
-            F.coalesce("m.layers", F.array().cast("array<struct<digest:string,size:bigint,annotations:map<string,string>>>")),
+            F.coalesce("m.layers", F.array().cast(LAYERS)),
             lambda layer, n: F.struct(
                 n.alias("position"),
                 layer["digest"].alias("digest"),
                 layer["size"].alias("size"),
-                title(layer).alias("title"),
+                _title(layer).alias("title"),
             ),
         ),
         lambda layer: F.coalesce(layer["title"], F.lit("")) != "",
