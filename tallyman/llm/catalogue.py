@@ -7,6 +7,11 @@ from importlib import import_module
 from tallyman.workload.registry import Query, Workload
 
 MODULES = (
+    "mixing_queries",
+    "sharding_queries",
+    "packing_queries",
+    "quality_queries",
+    "near_dup_queries",
     "suffix_queries",
 )
 

@@ -100,20 +100,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)[:n]
 
 
-def split_words(data: np.ndarray, begins: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts whose bytes are ``data``."""
+#: Classes of bytes: 0 white space, 1 all others.
+WORD = np.where(is_space(np.arange(256)), 0, 1).astype(np.uint8)
+
+
+def split_words(
+    data: np.ndarray, begins: np.ndarray, lower: bool = False, kinds: np.ndarray = WORD
+) -> Words:
+    """Words of the texts whose bytes are ``data``: runs of one class of ``kinds`` that isn't 0."""
     n = len(data)
-    space = is_space(data)
+    kind = kinds[data]
     edge = np.zeros(n + 1, bool)
     edge[begins] = True
-    before = np.empty(n, bool)
-    before[:1] = True
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & (before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1:] = True
-    after[:-1] = space[1:]
-    ends = np.flatnonzero(~space & (after | edge[1:])) + 1
+    turn = np.ones(n + 1, bool)
+    turn[1:-1] = kind[1:] != kind[:-1]
+    turn |= edge
+    starts = np.flatnonzero((kind != 0) & turn[:n])
+    ends = np.flatnonzero((kind != 0) & turn[1:]) + 1
     letters = seeds(256, 17)[lowered(data) if lower else data]
     letters *= _powers(_BASE, n)
     sums = np.empty(n + 1, np.uint64)
@@ -124,12 +127,14 @@ def split_words(data: np.ndarray, begins: np.ndarray, lower: bool = False) -> Wo
     return Words(hashes, np.searchsorted(starts, begins), starts, ends, data, begins)
 
 
-def column_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def column_words(
+    column: pa.Array, lower: bool = False, kinds: np.ndarray = WORD
+) -> Iterator[tuple[int, int, Words]]:
     """``(first row, end row, words)`` for each slice of a string column."""
     data, begins = text_buffers(column)
     for at, to in slices(begins):
         part = begins[at : to + 1]
-        yield at, to, split_words(data[part[0] : part[-1]], part - part[0], lower)
+        yield at, to, split_words(data[part[0] : part[-1]], part - part[0], lower, kinds)
 
 
 def window_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
