@@ -7,6 +7,10 @@ from importlib import import_module
 from tallyman.workload.registry import Query, Workload
 
 MODULES = (
+    "main_text_queries",
+    "host_rule_queries",
+    "archive_queries",
+    "vector_queries",
     "mixing_queries",
     "sharding_queries",
     "packing_queries",
