@@ -162,7 +162,8 @@ def near_duplicate_vectors(
         ),
         "cells",
     )
-    place = ["label", "cell"]
+    members = members.withColumn("width", F.size("vec"))
+    place = ["label", "width", "cell"]
     sizes = members.groupBy(*place).agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = (
