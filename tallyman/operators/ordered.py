@@ -5,7 +5,7 @@ spreads over the cluster.
 
 A fold (first-fit, next-fit, cutting, stall detection) is sequential by nature. Here the
 rows are range-sorted once and cut into bounded chunks. The driver carries only the fold's
-state, a handful of integers per key, from chunk to chunk. Chunks whose effect follows from
+state from chunk to chunk: two or three integers per key, or for first-fit one per open bucket. Chunks whose effect follows from
 their summary are skipped without being read; the others are folded a few at a time in a
 task. When every chunk's starting state is known, one parallel job produces the output.
 Keys that fit in one chunk, the usual case, need no rounds at all.
@@ -210,7 +210,9 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
                 if at[key] == len(chunks) - 1:
                     at[key] += 1
                     break
-                known = after.pop((*key, number), None) or fold.skip(state[key], chunk)
+                known = after.pop((*key, number), None)
+                if known is None:
+                    known = fold.skip(state[key], chunk)
                 if known is None:
                     opened[key] = state[key]
                     near = chunks[at[key] : at[key] + ROUND_CHUNKS]

@@ -139,8 +139,11 @@ def pack_first_fit(
 
     ``(root, path, bytes, bucket, status)``. A piece no bucket can take once ``max_buckets``
     are open is ``overflow``; pieces that arrive with a status other than ``ok`` keep it
-    and take no bucket. Tree order compares paths component by component.
+    and take no bucket; one larger than ``limit`` is an ``oversize_file``. Tree order compares
+    paths component by component.
     """
+    status = F.when((F.col("status") == "ok") & (F.col("bytes") > limit), "oversize_file")
+    pieces = pieces.withColumn("status", F.coalesce(status, "status"))
     good = pieces.filter(F.col("status") == "ok").select("root", "path", "bytes")
     chunked = ordered_chunks(good, ["root", components("path")], chunk_rows, "pieces")
     refused = pieces.filter(F.col("status") != "ok").select(
@@ -281,14 +284,15 @@ def pad_unused(members: DataFrame, entries: DataFrame, max_buckets: int) -> Data
 
 
 def bucket_report(assigned: DataFrame, max_buckets: int) -> DataFrame:
-    """Entries and bytes per bucket, how many are used, the ceiling and the root's total."""
-    per_bucket = (
-        assigned.filter(F.col("bucket").isNotNull())
-        .groupBy("root", "bucket")
-        .agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"))
+    """Entries and bytes per bucket, how many are used, the ceiling and the root's total.
+
+    What has no bucket is a row with a null bucket, and part of the total.
+    """
+    per_bucket = assigned.groupBy("root", "bucket").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes")
     )
     per_root = per_bucket.groupBy("root").agg(
-        F.count(F.lit(1)).cast("int").alias("used"), F.sum("bytes").alias("total_bytes")
+        F.count("bucket").cast("int").alias("used"), F.sum("bytes").alias("total_bytes")
     )
     return per_bucket.join(per_root, "root").select(
         "root",

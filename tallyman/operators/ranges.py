@@ -98,7 +98,8 @@ def containment(parts: DataFrame, protected: DataFrame, bin_bytes: int) -> DataF
     """``(archive, name, start, end, home, spans)`` per protected range.
 
     ``home`` is the part that holds the range whole, else null and ``spans`` counts the
-    parts it touches, with ``first_part`` and ``last_part``. The overlap join is an equi
+    parts it touches, with ``first_part`` and ``last_part``. A range that no part touches has
+    ``spans`` 0; an empty one lies in the part that holds its start. The overlap join is an equi
     join on bins of ``bin_bytes``: about one bin per part keeps both sides from growing.
     """
     width = F.lit(bin_bytes).cast("long")
@@ -123,7 +124,7 @@ def containment(parts: DataFrame, protected: DataFrame, bin_bytes: int) -> DataF
         # Each overlapping pair meets in every bin both cover; keep the first.
         .filter(
             (F.col("bin") == F.floor(F.greatest("start", "ps") / width))
-            & (F.col("ps") < F.col("end"))
+            & (F.col("ps") < F.greatest("end", F.col("start") + 1))
             & (F.col("start") < F.col("pe"))
         )
     )
@@ -134,7 +135,16 @@ def containment(parts: DataFrame, protected: DataFrame, bin_bytes: int) -> DataF
         F.min("part").alias("first_part"),
         F.max("part").alias("last_part"),
     )
-    return found
+    keys = ["archive", "name", "start", "end"]
+    every = protected.select(*keys).distinct().alias("p")
+    same = F.expr(" AND ".join(f"p.`{k}` <=> f.`{k}`" for k in keys))
+    return every.join(found.alias("f"), same, "left").select(
+        *[F.col(f"p.{k}") for k in keys],
+        "home",
+        F.coalesce("spans", F.lit(0).cast("long")).alias("spans"),
+        "first_part",
+        "last_part",
+    )
 
 
 def sub_chunks(parts: DataFrame, max_part: int, sub: int) -> DataFrame:

@@ -22,22 +22,31 @@ def require_ok(df: DataFrame, status: str = "status", ok: tuple[str, ...] = ("ok
 def write_buckets(assigned: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per ``(root, bucket)``; a bucket's rows are in that folder only.
 
-    The rebalance hint gathers small buckets' rows into few files and lets AQE split a
+    Rows without a bucket are refused before anything is written: ``assigned`` is looked
+    through for them first, so it should be staged. The rebalance hint gathers small buckets' rows into few files and lets AQE split a
     bucket with very many rows over several tasks.
     """
+    unplaced = assigned.filter(F.col("bucket").isNull()).count()
+    if unplaced:
+        raise RefusedError(f"without a bucket x{unplaced}")
     (
-        assigned.filter(F.col("bucket").isNotNull())
-        .hint("rebalance", "root", "bucket")
+        assigned.hint("rebalance", "root", "bucket")
         .write.mode(mode)
         .partitionBy("root", "bucket")
         .parquet(path)
     )
 
 
-def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    """Written buckets; ``root`` stays the string it was, even one that looks like a number."""
-    schema = spark.read.parquet(path).schema
-    schema["root"].dataType = T.StringType()
+def read_buckets(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """Written buckets; ``root`` stays the string it was, even one that looks like a number.
+
+    With the ``schema`` that was written, folders are listed once and nothing is inferred.
+    """
+    if schema is None:
+        schema = spark.read.parquet(path).schema
+        schema["root"].dataType = T.StringType()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -49,16 +58,17 @@ def write_checksums(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def quarantine(df: DataFrame, good: Column, path: str, by: str) -> None:
-    """Split rows into ``verdict=verified`` and ``verdict=quarantine`` in one pass.
+    """Rows with a ``verdict`` of ``verified`` or ``quarantine``, kept by ``by`` value.
 
-    Written per ``by`` value with dynamic overwrite: a value's new bad rows replace its
-    earlier quarantine, and values not in ``df`` keep theirs. A null ``good`` is bad.
+    Written with dynamic overwrite: a value's new rows replace all its earlier ones, good or
+    bad, so none stays verified that is bad now. Values not in ``df`` keep theirs. A null
+    ``good`` is bad.
     """
     (
         df.withColumn("verdict", F.when(good, "verified").otherwise("quarantine"))
-        .hint("rebalance", "verdict", by)
+        .hint("rebalance", by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("verdict", by)
+        .partitionBy(by)
         .parquet(path)
     )

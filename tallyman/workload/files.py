@@ -39,7 +39,6 @@ from tallyman.sources import (
 )
 from tallyman.workload.fixtures import (
     ARCHIVE_SQL,
-    TREE_BUCKETS,
     TREE_LIMIT,
     TREE_SQL,
     archive_entries,
@@ -49,7 +48,14 @@ from tallyman.workload.fixtures import (
     table,
     tree_entries,
 )
-from tallyman.workload.packing import FIT_SQL, MEMBERS_SQL, _fill, tree_assignment
+from tallyman.workload.packing import (
+    FIT_SQL,
+    MEMBERS_SQL,
+    TREE_CEILING,
+    _fill,
+    tree_assignment,
+    tree_ceiling,
+)
 from tallyman.workload.registry import Workload
 
 work = Workload()
@@ -84,14 +90,6 @@ def checksum_pair(spark, sf_dir):
 # --- sources and sinks ---
 
 
-@work.query("s2_file_inventory")
-def s2_file_inventory(spark, sf_dir):
-    files = file_inventory(spark, sf_dir, glob="*.parquet")
-    return files.select(
-        F.substring_index("path", "/", -1).alias("name"), "length", "sha256", "status"
-    )
-
-
 @work.query(
     "s2_inventory_digests",
     """
@@ -275,14 +273,14 @@ def s7_read_readings(spark, sf_dir):
 
 @work.query(
     "k1_write_buckets",
-    _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed WHERE bucket IS NOT NULL", TREE_LIMIT, TREE_BUCKETS),
+    _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed", TREE_LIMIT, TREE_CEILING),
 )
 def k1_write_buckets(spark, sf_dir):
     pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
-    packed = pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS)
+    packed = stage(pack_first_fit(pieces, TREE_LIMIT, tree_ceiling(spark, sf_dir)).drop("status"), "packed")
     path = scratch_path(spark, "buckets")
-    write_buckets(packed.drop("status"), path)
-    return read_buckets(spark, path).select("root", "bucket", "path", "bytes")
+    write_buckets(packed, path)
+    return read_buckets(spark, path, packed.schema).select("root", "bucket", "path", "bytes")
 
 
 @work.query(
@@ -313,6 +311,26 @@ def k3_quarantine(spark, sf_dir):
     return spark.read.parquet(path).select("path", "source", "verdict")
 
 
+@work.query(
+    "k3_quarantine_twice",
+    "WITH " + PAIR_SQL + """
+SELECT e.path, string_split(e.path, '/')[2] AS source,
+       CASE WHEN coalesce(a.sha = e.sha, false) = (string_split(e.path, '/')[2] NOT LIKE '%3') THEN 'verified' ELSE 'quarantine' END AS verdict
+FROM expected e LEFT JOIN actual a USING (path)
+""",
+)
+def k3_quarantine_twice(spark, sf_dir):
+    """Two runs; in the second, sources that end in 3 come again with their verdicts turned round."""
+    expected, actual = checksum_pair(spark, sf_dir)
+    source = F.element_at(F.split("path", "/"), 2)
+    checked = stage(verify_pins(expected, actual).withColumn("source", source), "checked")
+    good = F.coalesce(F.col("status") == "verified", F.lit(False))
+    path = scratch_path(spark, "quarantine")
+    quarantine(checked, good, path, by="source")
+    quarantine(checked.filter("source LIKE '%3'"), ~good, path, by="source")
+    return spark.read.parquet(path).select("path", "source", "verdict")
+
+
 # --- selection ---
 
 
@@ -614,7 +632,7 @@ FROM (SELECT DISTINCT array_to_string(string_split(path, '/')[1:d], '/') AS a
 WHERE a NOT IN (SELECT path FROM faulty)
 """,
         TREE_LIMIT,
-        TREE_BUCKETS,
+        TREE_CEILING,
     ),
 )
 def i11_audit_assignment(spark, sf_dir):

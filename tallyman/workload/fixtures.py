@@ -14,9 +14,9 @@ from tallyman.operators.ordered import with_row_number, with_running_sum
 from tallyman.operators.rollup import with_directories
 
 TREE_LIMIT = 131_072
-TREE_BUCKETS = 1024
 ARCHIVE_LIMIT = 262_144
-ARCHIVE_BUCKETS = 1024
+#: Buckets there may be at least; more where the total asks for them.
+LEAST_BUCKETS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

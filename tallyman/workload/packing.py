@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyman.functions import entry_cost
 from tallyman.operators.packing import (
     bucket_report,
     pack_first_fit,
@@ -21,10 +22,9 @@ from tallyman.operators.rollup import (
 from tallyman.plans import pack_archive, pack_tree
 from tallyman.session import stage
 from tallyman.workload.fixtures import (
-    ARCHIVE_BUCKETS,
     ARCHIVE_LIMIT,
     ARCHIVE_SQL,
-    TREE_BUCKETS,
+    LEAST_BUCKETS,
     TREE_LIMIT,
     TREE_SQL,
     archive_entries,
@@ -62,8 +62,11 @@ pieces AS (
   FROM holders h JOIN sizes p ON p.path = h.up
   WHERE (h.up = '' OR p.bytes > {limit}) AND (h.bytes <= {limit} OR h.kind <> 'dir'))
 """
+# Buckets enough for any packing in which no two neighbours fit in one.
+ROOM_SQL = f"room AS MATERIALIZED (SELECT greatest({LEAST_BUCKETS}, 2 * sum(cost) // {{limit}} + 2)::INTEGER AS n FROM %s)"
+TREE_CEILING = ARCHIVE_CEILING = "(SELECT n FROM room)"
 FIT_SQL = """
-WITH RECURSIVE """ + PIECES_SQL + """,
+WITH RECURSIVE """ + PIECES_SQL + ",\n" + ROOM_SQL % "costed" + """,
 line AS (
   SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS n FROM pieces
   WHERE status = 'ok'),
@@ -89,8 +92,23 @@ packed AS (
 """
 
 
-def _fill(sql: str, limit: int, buckets: int = 0) -> str:
-    return sql.replace("{limit}", str(limit)).replace("{buckets}", str(buckets))
+def _fill(sql: str, limit: int, buckets: int | str = 0) -> str:
+    return sql.replace("{buckets}", str(buckets)).replace("{limit}", str(limit))
+
+
+def _ceiling(total: int | None, limit: int) -> int:
+    return max(LEAST_BUCKETS, 2 * (total or 0) // limit + 2)
+
+
+def tree_ceiling(spark, sf_dir, limit=TREE_LIMIT):
+    """Buckets enough for the whole tree."""
+    costs = tree_cost(tree_entries(spark, sf_dir))
+    return _ceiling(costs.agg(F.sum("cost")).first()[0], limit)
+
+
+def archive_ceiling(entries, limit=ARCHIVE_LIMIT):
+    costs = entries.select(entry_cost(F.col("size"), F.col("kind")).alias("cost"))
+    return _ceiling(costs.agg(F.sum("cost")).first()[0], limit)
 
 
 @work.query(
@@ -124,11 +142,11 @@ def p3_frontier_oversize(spark, sf_dir):
 
 @work.query(
     "p4_pack_first_fit",
-    _fill(FIT_SQL + "SELECT path, bytes, bucket, status FROM packed", TREE_LIMIT, TREE_BUCKETS),
+    _fill(FIT_SQL + "SELECT path, bytes, bucket, status FROM packed", TREE_LIMIT, TREE_CEILING),
 )
 def p4_pack_first_fit(spark, sf_dir):
     pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
-    return pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS).drop("root")
+    return pack_first_fit(pieces, TREE_LIMIT, tree_ceiling(spark, sf_dir)).drop("root")
 
 
 @work.query(
@@ -145,6 +163,7 @@ WITH RECURSIVE """ + ARCHIVE_SQL + """,
 line AS (
   SELECT *, CASE WHEN kind IN ('dir', 'symlink') THEN 512
                  ELSE 512 + ((size + 511) // 512) * 512 END AS cost FROM archive),
+""" + ROOM_SQL % "line" + """,
 sums AS (SELECT *, sum(cost) OVER (ORDER BY seq) AS upto FROM line),
 starts AS (
   SELECT 0 AS bucket, 1::BIGINT AS seq, 0::HUGEINT AS base
@@ -165,10 +184,11 @@ packed AS (
 
 @work.query(
     "p5_pack_next_fit",
-    _fill(NEXT_SQL + "SELECT * FROM packed", ARCHIVE_LIMIT, ARCHIVE_BUCKETS),
+    _fill(NEXT_SQL + "SELECT * FROM packed", ARCHIVE_LIMIT, ARCHIVE_CEILING),
 )
 def p5_pack_next_fit(spark, sf_dir):
-    return pack_next_fit(archive_entries(spark, sf_dir), ARCHIVE_LIMIT, ARCHIVE_BUCKETS).drop("root")
+    entries = stage(archive_entries(spark, sf_dir), "archive-entries")
+    return pack_next_fit(entries, ARCHIVE_LIMIT, archive_ceiling(entries)).drop("root")
 
 
 @work.query("p5_pack_next_fit_overflow", _fill(NEXT_SQL + "SELECT * FROM packed", 131_072, 12))
@@ -200,9 +220,10 @@ def p5_shard_by_key(spark, sf_dir):
     return shard_by_key(lines, "l_orderkey", "bytes", 1_000_000)
 
 
-def tree_assignment(spark, sf_dir, limit=TREE_LIMIT, buckets=TREE_BUCKETS):
+def tree_assignment(spark, sf_dir, limit=TREE_LIMIT, buckets=None):
     """Entries of the tree and the members of each bucket, before ancestors are added."""
-    entries = tree_entries(spark, sf_dir)
+    entries = stage(tree_entries(spark, sf_dir), "tree-entries")
+    buckets = buckets or tree_ceiling(spark, sf_dir, limit)
     packed = stage(pack_first_fit(frontier(entries, limit), limit, buckets), "packed")
     return entries, packed, stage(expand_pieces(packed, entries), "expanded")
 
@@ -222,7 +243,7 @@ full_members AS (
 
 @work.query(
     "p6_with_ancestors",
-    _fill(MEMBERS_SQL + "SELECT bucket, path, kind FROM full_members", TREE_LIMIT, TREE_BUCKETS),
+    _fill(MEMBERS_SQL + "SELECT bucket, path, kind FROM full_members", TREE_LIMIT, TREE_CEILING),
 )
 def p6_with_ancestors(spark, sf_dir):
     _, _, members = tree_assignment(spark, sf_dir)
@@ -236,17 +257,18 @@ def p6_with_ancestors(spark, sf_dir):
         + """
 SELECT u.bucket::INTEGER AS bucket, t.path, 'padding' AS status,
        (SELECT count(DISTINCT bucket) FROM members)::INTEGER AS needed
-FROM range(0, {buckets}) AS u(bucket), tree t
+FROM (SELECT unnest(range(0, {buckets})) AS bucket) AS u, tree t
 WHERE u.bucket NOT IN (SELECT bucket FROM members) AND t.kind = 'dir' AND t.path NOT LIKE '%/%'
 """,
         TREE_LIMIT,
-        TREE_BUCKETS,
+        TREE_CEILING,
     ),
 )
 def p7_pad_unused(spark, sf_dir):
     entries = tree_entries(spark, sf_dir)
-    packed = stage(pack_first_fit(frontier(entries, TREE_LIMIT), TREE_LIMIT, TREE_BUCKETS), "packed")
-    return pad_unused(packed, entries, TREE_BUCKETS).drop("root")
+    buckets = tree_ceiling(spark, sf_dir)
+    packed = stage(pack_first_fit(frontier(entries, TREE_LIMIT), TREE_LIMIT, buckets), "packed")
+    return pad_unused(packed, entries, buckets).drop("root")
 
 
 @work.query(
@@ -269,24 +291,27 @@ def p7_unpaddable(spark, sf_dir):
     return pad_unused(flat, flat, 64)
 
 
-@work.query(
-    "p8_bucket_report",
-    _fill(
-        FIT_SQL
-        + """
+REPORT_SQL = """
 SELECT bucket, count(*)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes,
-       (SELECT count(DISTINCT bucket) FROM packed)::INTEGER AS used, {buckets} AS ceiling,
-       (SELECT sum(bytes) FROM packed WHERE bucket IS NOT NULL)::BIGINT AS total_bytes
-FROM packed WHERE bucket IS NOT NULL GROUP BY bucket
-""",
-        TREE_LIMIT,
-        TREE_BUCKETS,
-    ),
-)
+       (SELECT count(DISTINCT bucket) FROM packed)::INTEGER AS used, ({buckets})::INTEGER AS ceiling,
+       (SELECT sum(bytes) FROM packed)::BIGINT AS total_bytes
+FROM packed GROUP BY bucket
+"""
+
+
+@work.query("p8_bucket_report", _fill(FIT_SQL + REPORT_SQL, TREE_LIMIT, TREE_CEILING))
 def p8_bucket_report(spark, sf_dir):
     pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
-    packed = pack_first_fit(pieces, TREE_LIMIT, TREE_BUCKETS)
-    return bucket_report(packed, TREE_BUCKETS).drop("root")
+    buckets = tree_ceiling(spark, sf_dir)
+    packed = stage(pack_first_fit(pieces, TREE_LIMIT, buckets), "packed")
+    return bucket_report(packed, buckets).drop("root")
+
+
+@work.query("p8_bucket_report_overflow", _fill(FIT_SQL + REPORT_SQL, 32_768, 40))
+def p8_bucket_report_overflow(spark, sf_dir):
+    """Too few buckets: what has none is a row of its own."""
+    pieces = frontier(tree_entries(spark, sf_dir), 32_768)
+    return bucket_report(stage(pack_first_fit(pieces, 32_768, 40), "packed"), 40).drop("root")
 
 
 @work.query(
@@ -296,15 +321,16 @@ def p8_bucket_report(spark, sf_dir):
         + """
 SELECT root, bucket, path, kind FROM full_members
 UNION ALL
-SELECT t.root, u.bucket::INTEGER, t.path, 'dir' FROM range(0, {buckets}) AS u(bucket), tree t
+SELECT t.root, u.bucket::INTEGER, t.path, 'dir' FROM (SELECT unnest(range(0, {buckets})) AS bucket) AS u, tree t
 WHERE u.bucket NOT IN (SELECT bucket FROM members) AND t.kind = 'dir' AND t.path NOT LIKE '%/%'
 """,
         TREE_LIMIT,
-        TREE_BUCKETS,
+        TREE_CEILING,
     ),
 )
 def plan_pack_tree_members(spark, sf_dir):
-    return pack_tree(tree_entries(spark, sf_dir), TREE_LIMIT, TREE_BUCKETS).members
+    entries = stage(tree_entries(spark, sf_dir), "tree-entries")
+    return pack_tree(entries, TREE_LIMIT, tree_ceiling(spark, sf_dir)).members
 
 
 @work.query(
@@ -329,13 +355,14 @@ def plan_pack_tree_problems(spark, sf_dir):
         NEXT_SQL
         + """
 SELECT 'corpus' AS root, bucket, count(*)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes,
-       (SELECT count(DISTINCT bucket) FROM packed)::INTEGER AS used, {buckets} AS ceiling,
+       (SELECT count(DISTINCT bucket) FROM packed)::INTEGER AS used, ({buckets})::INTEGER AS ceiling,
        (SELECT sum(bytes) FROM packed)::BIGINT AS total_bytes
 FROM packed GROUP BY bucket
 """,
         ARCHIVE_LIMIT,
-        ARCHIVE_BUCKETS,
+        ARCHIVE_CEILING,
     ),
 )
 def plan_pack_archive_report(spark, sf_dir):
-    return pack_archive(archive_entries(spark, sf_dir), "", ARCHIVE_LIMIT, ARCHIVE_BUCKETS).report
+    entries = stage(archive_entries(spark, sf_dir), "archive-entries")
+    return pack_archive(entries, "", ARCHIVE_LIMIT, archive_ceiling(entries)).report

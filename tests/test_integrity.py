@@ -13,11 +13,13 @@ from tallyman.sources import (
     file_inventory,
     manifest_layers,
     quarantine,
+    read_buckets,
     read_checksums,
     read_lock,
     read_product_json,
     read_readings,
     require_ok,
+    write_buckets,
     write_checksums,
 )
 
@@ -97,6 +99,22 @@ def test_quarantine_replaces_only_its_own_values(spark, tmp_path, rows):
     assert rows(back, "verdict", "name", "sha") == [
         ("quarantine", "a", "2"), ("quarantine", "b", "1"), ("verified", "c", "2"),
     ]
+    # A value that turns bad leaves nothing verified behind, and the other way round.
+    again = spark.createDataFrame([("a", "3", True), ("c", "3", False)], schema)
+    quarantine(again, F.col("good"), path, "name")
+    assert rows(spark.read.parquet(path), "verdict", "name", "sha") == [
+        ("quarantine", "b", "1"), ("quarantine", "c", "3"), ("verified", "a", "3"),
+    ]
+
+
+def test_unplaced_rows_are_refused_before_anything_is_written(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    rows = spark.createDataFrame([("r", 0, "a"), ("r", None, "b")], "root string, bucket int, path string")
+    with pytest.raises(RefusedError, match="without a bucket x1"):
+        write_buckets(rows, path)
+    assert not (tmp_path / "buckets").exists()
+    write_buckets(rows.filter("bucket IS NOT NULL"), path)
+    assert read_buckets(spark, path, rows.schema).count() == 1
 
 
 def test_require_ok(spark):

@@ -86,7 +86,7 @@ def roll(costs, rolls, limit, most):
 
 
 @pytest.mark.parametrize("seed", range(60))
-def test_first_fit_step_is_the_plain_fold(seed):
+def test_first_fit_step_is_the_plain_fold(spark, seed):
     rng = random.Random(seed)
     limit, most = rng.choice([(1000, 5), (1000, 400), (50, 1), (300, 9)])
     sizes = [rng.choice([1, 7, 30, 49, 299, rng.randint(1, limit)]) for _ in range(rng.randint(1, 600))]
@@ -105,7 +105,7 @@ def test_first_fit_step_is_the_plain_fold(seed):
 
 
 @pytest.mark.parametrize("seed", range(60))
-def test_next_fit_step_is_the_plain_fold(seed):
+def test_next_fit_step_is_the_plain_fold(spark, seed):
     rng = random.Random(seed)
     limit, most = rng.choice([(1000, 5), (1000, 400), (50, 1), (300, 9)])
     costs = [rng.choice([0, 1, 30, 299, 1200]) for _ in range(rng.randint(1, 400))]
@@ -161,6 +161,22 @@ def test_pack_next_fit_matches_fold(spark, chunk_rows):
     assert packed.filter((F.col("status") == "overflow") != F.col("bucket").isNull()).count() == 0
 
 
+@pytest.mark.parametrize("key", ["one", "two"])
+def test_first_fit_ends_when_nothing_fits(spark, key):
+    """A chunk without room leaves the state empty, which is a state like any other."""
+    pieces = spark.createDataFrame(
+        [(key, f"p{i}", 50 if i < 6 else 5, "ok") for i in range(8)], "root string, path string, bytes long, status string"
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"ends-{key}", "first-fit over chunks of two")
+    try:
+        got = {r.path: (r.bucket, r.status) for r in packing.pack_first_fit(pieces, 10, 1, chunk_rows=2).collect()}
+        assert len(tracker.getJobIdsForGroup(f"ends-{key}")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"p{i}": (None, "oversize_file") if i < 6 else (0, "ok") for i in range(8)}
+
+
 @pytest.mark.parametrize("chunk_rows", [8, 1 << 18])
 def test_shards_never_split_a_key(spark, chunk_rows):
     rng = random.Random(3)

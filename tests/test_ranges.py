@@ -89,6 +89,15 @@ def test_containment_finds_every_overlap(spark):
     assert {r.name: (r.home, r.spans, r.first_part, r.last_part) for r in got.collect()} == want
 
 
+def test_containment_reports_ranges_in_gaps(spark, rows):
+    parts = spark.createDataFrame([("x", 0, 0, 10), ("x", 1, 20, 30)], "archive string, part int, start long, end long")
+    held = [("x", "in", 2, 5), ("x", "gap", 12, 15), ("x", "edge", 20, 20), ("x", "empty gap", 15, 15), ("y", "other", 0, 1)]
+    got = ranges.containment(parts, spark.createDataFrame(held, RANGE), 10)
+    assert rows(got, "name", "home", "spans") == sorted(
+        [("in", 0, 1), ("gap", None, 0), ("edge", 1, 1), ("empty gap", None, 0), ("other", None, 0)], key=repr
+    )
+
+
 def test_sub_chunks_are_near_equal(spark, rows):
     parts = spark.createDataFrame([("x", 0, 0, 10), ("x", 1, 10, 33)],
                                   "archive string, part int, start long, end long")
