@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyman.sources.catalog import parsable
+
 # Fixed value: a digest pin.
 SHA256 = r"^[0-9a-f]{64}$"
 _NAMES = "array<string>"
@@ -87,11 +89,21 @@ def validate_catalog(catalog: DataFrame, inventory: DataFrame | None = None) ->
     All rules but two look at one nested row, so they are one projection without a shuffle.
     With ``inventory (benchmark, service, path)`` of the image folders, prepare scripts that
     are not there (``script_not_found``) and folders without a catalog row
-    (``manifest_missing``) are reported too.
+    (``manifest_missing``) are reported too. Lines that are no JSON are ``unparsable``, those
+    with a value of a wrong type ``wrong_type``.
     """
     key = ["benchmark", "service"]
     found = F.array_compact(F.concat(_image_rules(), _dataset_rules()))
-    rows = catalog.select(*key, F.inline(found))
+    rows = parsable(catalog).select(*key, F.inline(found))
+    if "broken" in catalog.columns:
+        named = F.col("benchmark").isNotNull() | F.col("service").isNotNull()
+        broken = catalog.filter(F.col("broken").isNotNull()).select(
+            *key,
+            F.when(named, "wrong_type").otherwise("unparsable").alias("code"),
+            F.col("broken").alias("detail"),
+        )
+        rows = rows.unionByName(broken)
+    catalog = parsable(catalog)
     if inventory is None:
         return rows
     scripts = catalog.filter(F.col("prepare.script").isNotNull()).select(

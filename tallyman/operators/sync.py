@@ -44,22 +44,25 @@ def transfer_plan(layers: DataFrame, local: DataFrame) -> DataFrame:
     )
 
 
-def resolve_attempts(attempts: DataFrame) -> DataFrame:
-    """``(dataset, status, url_idx, attempt, errors)`` from download attempts.
+def resolve_attempts(attempts: DataFrame, tries_per_url: int = TRIES_PER_URL) -> DataFrame:
+    """``(dataset, status, url_idx, attempt, errors, ignored)`` from download attempts.
 
     ``attempts (dataset, url_idx, attempt, outcome, error)``, outcome ``fetch_error``,
-    ``sha_mismatch`` or ``ok``. URLs count in order, three tries each. The first try that is
+    ``sha_mismatch`` or ``ok``. URLs count in order, ``tries_per_url`` tries each; attempts
+    beyond these (or without a number) decide nothing, and ``ignored`` counts them. The first try that is
     not a fetch error decides: ``verified`` or ``fatal`` (a wrong digest is never retried
     elsewhere). With none the dataset is ``exhausted``, its errors joined in order.
 
-    The deciding try is a ``min_by``; only exhausted datasets gather their errors, at most
-    three per URL.
+    The deciding try is a ``min``; only exhausted datasets gather their errors, at most
+    ``tries_per_url`` per URL.
     """
-    tried = attempts.filter(F.col("attempt").between(1, TRIES_PER_URL))
+    counts = F.coalesce(F.col("attempt").between(1, tries_per_url), F.lit(False))
+    tried = attempts.filter(counts)
     at = F.struct("url_idx", "attempt")
     decides = F.col("outcome") != "fetch_error"
-    verdict = tried.groupBy("dataset").agg(
-        F.min(F.when(decides, F.struct("url_idx", "attempt", "outcome"))).alias("won")
+    verdict = attempts.groupBy("dataset").agg(
+        F.min(F.when(counts & decides, F.struct("url_idx", "attempt", "outcome"))).alias("won"),
+        F.count(F.when(~counts, 1)).alias("ignored"),
     )
     lost = verdict.filter(F.col("won").isNull()).select("dataset")
     errors = (
@@ -77,6 +80,7 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
         F.col("won.url_idx").alias("url_idx"),
         F.col("won.attempt").alias("attempt"),
         "errors",
+        "ignored",
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Numbers that a validation rule must see as written are read as strings.
 CATALOG_SCHEMA = """
@@ -24,17 +25,36 @@ DEFAULT_TIMEOUT_S = 30
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Nested catalog rows from JSON lines or Parquet, never inferring the schema."""
-    return spark.read.schema(CATALOG_SCHEMA).format(fmt).load(path)
+    """Nested catalog rows from JSON lines or Parquet, never inferring the schema.
+
+    JSON rows have a ``broken`` column: the line, where it is no JSON or has a value of a wrong
+    type. Such a value is null, and without any JSON so is the whole row.
+    """
+    if fmt != "json":
+        return spark.read.schema(CATALOG_SCHEMA).format(fmt).load(path)
+    schema = T.StructType.fromDDL(CATALOG_SCHEMA).add("broken", T.StringType())
+    item = F.from_json("value", schema, {"columnNameOfCorruptRecord": "broken"})
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(item.alias("item")).select("item.*")
+
+
+def parsable(catalog: DataFrame) -> DataFrame:
+    """The rows that are an image: all but lines without any JSON."""
+    if "broken" not in catalog.columns:
+        return catalog
+    lost = F.col("broken").isNotNull() & F.col("benchmark").isNull() & F.col("service").isNull()
+    return catalog.filter(~lost)
 
 
 def catalog_tables(catalog: DataFrame) -> dict[str, DataFrame]:
     """``images``, ``datasets``, ``dataset_urls``, ``outputs``, ``build_args``, ``packing_spec``.
 
     Each is one pass of projections and explodes with the defaults filled in; nothing is
-    shuffled, and each prunes the nested columns it does not use.
+    shuffled, and each prunes the nested columns it does not use. Lines without any JSON are in
+    none of them; ``validate_catalog`` names them.
     """
     key = ["benchmark", "service"]
+    catalog = parsable(catalog)
     images = catalog.select(
         *key,
         F.concat_ws("-", "benchmark", "service").alias("name"),

@@ -7,11 +7,11 @@ from tallyman.streaming.running import (
     running_audit,
     unique_digests,
 )
-from tallyman.streaming.runner import drain_appended, drain_complete
+from tallyman.streaming.runner import drain_appended, drain_updated
 
 __all__ = [
     "drain_appended",
-    "drain_complete",
+    "drain_updated",
     "peaks_from_windows",
     "resource_windows",
     "running_audit",

@@ -21,6 +21,13 @@ def written_catalog(spark, sf_dir, faults=False):
     """The catalog written as JSON lines and read back with its schema."""
     path = scratch_path(spark, "catalog")
     catalog(spark, sf_dir, faults).write.json(path)
+    if faults:  # lines that are cut off, and lines with a number that is none
+        part = table(spark, sf_dir, "part")
+        cut = part.filter("p_partkey % 40 = 31").select(F.concat(F.lit('{"benchmark": "b'), F.col("p_partkey").cast("string")))
+        typed = part.filter("p_partkey % 40 = 32").select(
+            F.concat(F.lit('{"benchmark":"odd","service":"s'), F.col("p_partkey").cast("string"), F.lit('","media":7}'))
+        )
+        cut.toDF("value").unionByName(typed.toDF("value")).write.mode("append").text(path)
     return read_catalog(spark, path)
 
 
@@ -268,7 +275,14 @@ violations AS (
 """
 
 
-@work.query("i12_validate_catalog", VIOLATIONS_SQL + "SELECT * FROM violations")
+@work.query("i12_validate_catalog", VIOLATIONS_SQL + """
+SELECT * FROM violations
+UNION ALL
+SELECT NULL, NULL, 'unparsable', '{"benchmark": "b' || p_partkey FROM part WHERE p_partkey % 40 = 31
+UNION ALL
+SELECT 'odd', 's' || p_partkey, 'wrong_type', '{"benchmark":"odd","service":"s' || p_partkey || '","media":7}'
+FROM part WHERE p_partkey % 40 = 32
+""")
 def i12_validate_catalog(spark, sf_dir):
     return validate_catalog(written_catalog(spark, sf_dir, faults=True))
 

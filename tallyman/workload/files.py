@@ -211,7 +211,11 @@ def s5_manifest_layers(spark, sf_dir):
 
 @work.query(
     "s6_read_product_json",
-    "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part",
+    """
+SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, 'ok' AS status, NULL::VARCHAR AS raw FROM part
+UNION ALL
+SELECT DISTINCT NULL::BIGINT, NULL, NULL, NULL::INTEGER, NULL::DOUBLE, 'unparsable', '[{"p_partkey": ' || p_size || ' ' FROM part
+""",
 )
 def s6_read_product_json(spark, sf_dir):
     path = scratch_path(spark, "products")
@@ -224,6 +228,11 @@ def s6_read_product_json(spark, sf_dir):
         .write.option("maxRecordsPerFile", 1)
         .text(path)
     )
+    broken = table(spark, sf_dir, "part").select("p_size").distinct()
+    (
+        broken.select(F.concat(F.lit('[{"p_partkey": '), F.col("p_size").cast("string")).alias("value"))
+        .write.mode("append").option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+    )
     return read_product_json(
         spark, path, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double"
     )
@@ -259,13 +268,20 @@ readings AS (
 
 @work.query(
     "s7_read_readings",
-    "WITH " + READINGS_SQL + "SELECT * EXCLUDE (ts), epoch_us(ts) AS at_us FROM readings",
+    "WITH " + READINGS_SQL + """
+SELECT * EXCLUDE (ts), epoch_us(ts) AS at_us, NULL::VARCHAR AS raw, 'ok' AS status FROM readings
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{"run": ' || event_id, 'unparsable'
+FROM events WHERE event_id % 100 = 7
+""",
 )
 def s7_read_readings(spark, sf_dir):
     path = scratch_path(spark, "readings")
     readings(events(spark, sf_dir)).write.option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ).json(path)
+    broken = table(spark, sf_dir, "events").filter("event_id % 100 = 7")
+    broken.select(F.concat(F.lit('{"run": '), F.col("event_id").cast("string")).alias("value")).write.mode("append").text(path)
     return (
         read_readings(spark, path).withColumn("at_us", F.unix_micros("at")).drop("at")
     )

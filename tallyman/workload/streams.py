@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyman.streaming import (
     drain_appended,
-    drain_complete,
+    drain_updated,
     peaks_from_windows,
     resource_windows,
     running_audit,
@@ -58,7 +58,8 @@ GROUP BY ALL
 """,
 )
 def t1_running_audit(spark, sf_dir):
-    return drain_complete(running_audit(entry_stream(stream(spark, sf_dir, "documents"))), "audit")
+    audit = running_audit(entry_stream(stream(spark, sf_dir, "documents")))
+    return drain_updated(audit, ["root", "category"], "audit")
 
 
 @work.query(
@@ -86,7 +87,6 @@ def t3_stall_alerts(spark, sf_dir):
     return drain_appended(stall_alerts(rows, **TICK), "alerts")
 
 
-# Only windows the watermark has passed are final.
 WINDOWS_SQL = READINGS_SQL + """,
 placed AS (SELECT *, (epoch_us(ts) // 20000000) * 20000000 AS window_start_us FROM readings),
 windows AS (
@@ -94,14 +94,13 @@ windows AS (
          min(disk_free_gb) AS least_disk_gb, min(mem_available_mb) AS least_mem_mb,
          max(swap_used_mb) AS peak_swap_mb, count(*)::BIGINT AS samples
   FROM placed
-  WHERE window_start_us + 20000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM readings) - 600000000
   GROUP BY run, window_start_us)
 """
 
 
 def reading_windows(spark, sf_dir):
     samples = stream(spark, sf_dir, "events").withColumn("ts", utc_instant("ts"))
-    return drain_appended(resource_windows(readings(samples)), "windows")
+    return drain_updated(resource_windows(readings(samples)), ["run", "window_start"], "windows")
 
 
 @work.query("t4_resource_windows", "WITH " + WINDOWS_SQL + "SELECT * FROM windows")

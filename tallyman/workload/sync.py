@@ -59,38 +59,39 @@ def r1_transfer_plan(spark, sf_dir):
 WITH numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
 tries AS (
-  SELECT user_id AS dataset, k // 3 AS url_idx, k % 3 + 1 AS attempt, event_id,
-         CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'sha_mismatch'
-              ELSE 'fetch_error' END AS outcome
-  FROM numbered WHERE k < 6),
+  SELECT user_id AS dataset, k // 4 AS url_idx, k % 4 + 1 AS attempt, event_id,
+         CASE WHEN user_id % 5 = 0 THEN 'fetch_error' ELSE CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'sha_mismatch'
+              ELSE 'fetch_error' END END AS outcome
+  FROM numbered),
 decided AS (
   SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY url_idx, attempt) AS n
-  FROM tries WHERE outcome <> 'fetch_error')
+  FROM tries WHERE outcome <> 'fetch_error' AND attempt <= 3)
 SELECT d.dataset,
        CASE WHEN w.outcome IS NULL THEN 'exhausted' WHEN w.outcome = 'ok' THEN 'verified' ELSE 'fatal' END
          AS status,
        w.url_idx::INTEGER AS url_idx, w.attempt::INTEGER AS attempt,
        CASE WHEN w.outcome IS NULL THEN
          (SELECT string_agg('event ' || event_id, '; ' ORDER BY url_idx, attempt) FROM tries t
-          WHERE t.dataset = d.dataset) END AS errors
+          WHERE t.dataset = d.dataset AND attempt <= 3) END AS errors,
+       (SELECT count(*) FROM tries t WHERE t.dataset = d.dataset AND attempt > 3) AS ignored
 FROM (SELECT DISTINCT dataset FROM tries) d
 LEFT JOIN decided w ON w.dataset = d.dataset AND w.n = 1
 """,
 )
 def r2_resolve_attempts(spark, sf_dir):
-    # Two URLs of three tries each: the first six events. The rank limit precedes the shuffle.
+    # Four tries of each URL, the last of them one too many; every fifth user gets nowhere.
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.col("k")
     attempts = (
         events(spark, sf_dir)
         .withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") <= 6)
         .withColumn("k", F.col("nth") - 1)
         .select(
             F.col("user_id").alias("dataset"),
-            F.expr("CAST(k div 3 AS int)").alias("url_idx"),
-            (F.pmod(k, F.lit(3)) + 1).alias("attempt"),
-            F.when(F.col("event_type") == "purchase", "ok")
+            F.expr("CAST(k div 4 AS int)").alias("url_idx"),
+            (F.pmod(k, F.lit(4)) + 1).alias("attempt"),
+            F.when(F.pmod("user_id", F.lit(5)) == 0, "fetch_error")
+            .when(F.col("event_type") == "purchase", "ok")
             .when(F.col("event_type") == "signup", "sha_mismatch")
             .otherwise("fetch_error")
             .alias("outcome"),

@@ -84,10 +84,16 @@ def test_manifest_layers(spark, rows, text, want):
 def test_json_feeds(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"id": 1,\n "name": "x"}, {"id": 2}]')
     got = read_product_json(spark, str(tmp_path / "p.json"), "id long, name string")
-    assert sorted((r.id, r.name) for r in got.collect()) == [(1, "x"), (2, None)]
+    assert sorted((r.id, r.name, r.status) for r in got.collect()) == [(1, "x", "ok"), (2, None, "ok")]
+    (tmp_path / "bad.json").write_text('[{"id": 3}, {')
+    bad = read_product_json(spark, str(tmp_path / "bad.json"), "id long, name string").first()
+    assert (bad.id, bad.status, bad.raw) == (None, "unparsable", '[{"id": 3}, {')
     (tmp_path / "r.json").write_text('{"metric": "resources", "phase": "start", "mem_total_mb": null}\n')
     row = read_readings(spark, str(tmp_path / "r.json")).first()
-    assert (row.metric, row.mem_total_mb, row.disk_free_gb) == ("resources", None, None)
+    assert (row.metric, row.mem_total_mb, row.disk_free_gb, row.status) == ("resources", None, None, "ok")
+    (tmp_path / "broken.json").write_text('{"metric": \n')
+    row = read_readings(spark, str(tmp_path / "broken.json")).select("status", "raw").first()
+    assert (row.status, row.raw) == ("unparsable", '{"metric": ')
 
 
 def test_quarantine_replaces_only_its_own_values(spark, tmp_path, rows):

@@ -36,12 +36,13 @@ def test_transfer_plan(spark, size, local, want):
 @pytest.mark.parametrize(
     "tries,want",
     [
-        ([(0, 1, "fetch_error"), (0, 2, "ok")], ("verified", 0, 2, None)),
-        ([(0, 1, "fetch_error"), (0, 2, "sha_mismatch"), (1, 1, "ok")], ("fatal", 0, 2, None)),
-        ([(1, 1, "ok"), (0, 3, "fetch_error")], ("verified", 1, 1, None)),
+        ([(0, 1, "fetch_error"), (0, 2, "ok")], ("verified", 0, 2, None, 0)),
+        ([(0, 1, "fetch_error"), (0, 2, "sha_mismatch"), (1, 1, "ok")], ("fatal", 0, 2, None, 0)),
+        ([(1, 1, "ok"), (0, 3, "fetch_error")], ("verified", 1, 1, None, 0)),
         ([(0, 1, "fetch_error"), (1, 1, "fetch_error"), (0, 2, "fetch_error")],
-         ("exhausted", None, None, "e01; e02; e11")),
-        ([(0, 1, "fetch_error"), (0, 4, "ok")], ("exhausted", None, None, "e01")),
+         ("exhausted", None, None, "e01; e02; e11", 0)),
+        ([(0, 1, "fetch_error"), (0, 4, "ok")], ("exhausted", None, None, "e01", 1)),
+        ([(0, 4, "ok"), (0, None, "ok")], ("exhausted", None, None, None, 2)),
     ],
 )
 def test_resolve_attempts(spark, tries, want):
