@@ -32,7 +32,8 @@ WITH docs AS (
   FROM docs d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN repeats r ON r.doc_id = d.doc_id
 ), ruled AS (
   SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-    100 * n_symbols > {rules.MAX_SYMBOLS_PER_100} * n_words OR 100 * n_dup_lines > {rules.MAX_DUP_LINE_PERCENT} * n_lines AS more_failed
+    100 * n_symbols > {rules.MAX_SYMBOLS_PER_100} * n_words
+      OR n_dup_lines >= {rules.LEAST_DUP_LINES} AND 100 * n_dup_lines > {rules.MAX_DUP_LINE_PERCENT} * n_lines AS more_failed
   FROM measured
 ), hosts AS (
   SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR more_failed THEN 1 ELSE 0 END) AS bad

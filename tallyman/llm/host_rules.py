@@ -20,9 +20,11 @@ TRUST_RATE = 0.02
 #: Base rules: fewer words, or a larger percentage of words in repeated windows of three.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Further rules: signs for 100 words, and percentage of lines that repeat an earlier one.
+#: Further rules: signs for 100 words; percentage of lines that repeat an earlier one, if so many
+#: do at least (a heading or notice that stands twice in a short text is no fault).
 MAX_SYMBOLS_PER_100 = 30
 MAX_DUP_LINE_PERCENT = 30
+LEAST_DUP_LINES = 4
 #: Strength of the prior if the hosts' rates don't differ more than chance.
 STRONGEST_PRIOR = 1e6
 
@@ -90,7 +92,8 @@ def judge_documents(
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     more = (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100 * F.col("n_words")) | (
-        100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")
+        (F.col("n_dup_lines") >= LEAST_DUP_LINES)
+        & (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
     )
     measured = stage(
         measure(rows, F.col("__own")).drop("__own").withColumn("base_failed", base).withColumn("failed", base | more),
