@@ -41,12 +41,14 @@ class Postings:
 
     ``postings (term, id, tf, positions, length)``, ``terms (term, df)`` and
     ``docs (id, length)``. A posting repeats its document's length, so that scoring joins
-    nothing but the query terms.
+    nothing but the query terms. A stored index has its postings and terms in so many
+    ``buckets`` by ``term_bucket``.
     """
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
+    buckets: int | None = None
 
     def staged(self) -> Postings:
         """The same index with its postings and lengths written once, for several uses."""
@@ -122,22 +124,31 @@ def write_postings(index: Postings, path: str, buckets: int = 64) -> None:
 
     The rebalance hint lets AQE split the bucket of a very frequent term over several tasks.
     """
-    for name, table in (("postings", index.postings), ("terms", index.terms)):
+    spark = index.docs.sparkSession
+
+    def write(table: DataFrame, name: str) -> DataFrame:
         (
             table.withColumn("term_bucket", _bucket(F.col("term"), buckets))
             .hint("rebalance", "term_bucket")
+            .sortWithinPartitions("term_bucket", "term")
             .write.mode("overwrite")
             .partitionBy("term_bucket")
             .parquet(f"{path}/{name}")
         )
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+    # Terms are counted from what was written: the documents are inverted once.
+    write(_document_frequencies(write(index.postings, "postings")), "terms")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def read_postings(spark: SparkSession, path: str) -> Postings:
     return Postings(
-        spark.read.parquet(f"{path}/postings").drop("term_bucket"),
-        spark.read.parquet(f"{path}/terms").drop("term_bucket"),
+        spark.read.parquet(f"{path}/postings"),
+        spark.read.parquet(f"{path}/terms"),
         spark.read.parquet(f"{path}/docs"),
+        spark.read.parquet(f"{path}/layout").first().buckets,
     )
 
 
@@ -146,7 +157,9 @@ def bm25_topk(
 ) -> DataFrame:
     """``(query, id, score, position)``: the best ``k`` documents of each ``(query, text)``.
 
-    A term asked twice counts twice. The query terms are joined first: when a bounded count
+    A term asked twice counts twice. Of a stored index only the buckets of asked terms are
+    read; otherwise document frequencies are counted for asked terms only. The query terms are
+    joined first: when a bounded count
     shows them to be few they are broadcast and the postings are filtered where they are
     read; otherwise the join shuffles by term and AQE splits frequent terms. Scores are
     partially summed before the shuffle by query and document, and the rank limit is
@@ -157,14 +170,24 @@ def bm25_topk(
         .groupBy("query", "term")
         .agg(F.count(F.lit(1)).alias("asked"))
     )
+    asked = stage(asked, "asked-terms")
+    if index.buckets:
+        # At most as many rows as the index has buckets.
+        wanted = asked.select(_bucket(F.col("term"), index.buckets)).distinct().collect()
+        here = F.col("term_bucket").isin([r.term_bucket for r in wanted])
+        postings, terms = index.postings.filter(here), index.terms.filter(here).select("term", "df")
+    else:
+        named = broadcast_if_small(asked.select("term").distinct())
+        postings = index.postings
+        terms = _document_frequencies(postings.select("term").join(named, "term", "left_semi"))
     n_docs, avg_length = index.docs.agg(F.count(F.lit(1)), F.avg("length")).first()
     weight = F.ln(
         F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     ) * F.col("asked")
     weighted = stage(
-        asked.join(index.terms, "term").select("query", "term", weight.alias("weight")), "asked"
+        asked.join(terms, "term").select("query", "term", weight.alias("weight")), "asked"
     )
-    hits = index.postings.select("term", "id", "tf", "length").join(
+    hits = postings.select("term", "id", "tf", "length").join(
         broadcast_if_small(weighted), "term"
     )
     norm = F.lit(k1) * (
