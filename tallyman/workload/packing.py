@@ -366,3 +366,37 @@ FROM packed GROUP BY bucket
 def plan_pack_archive_report(spark, sf_dir):
     entries = stage(archive_entries(spark, sf_dir), "archive-entries")
     return pack_archive(entries, "", ARCHIVE_LIMIT, archive_ceiling(entries)).report
+
+
+ARCHIVE_MEMBERS_SQL = NEXT_SQL + """,
+clean AS (
+  SELECT *, CASE WHEN kind IN ('file', 'dir') THEN mode & ~2 ELSE mode END AS fixed FROM archive),
+placed_members AS (SELECT p.bucket, c.* FROM packed p JOIN clean c USING (seq) WHERE p.bucket IS NOT NULL),
+dirs AS (
+  SELECT DISTINCT bucket, array_to_string(string_split(path, '/')[1:d], '/') AS path
+  FROM placed_members, range(1, 5) AS r(d)
+  WHERE d < len(string_split(path, '/')) OR (kind = 'dir' AND d = len(string_split(path, '/')))
+  UNION
+  SELECT u.bucket::INTEGER, path FROM (SELECT unnest(range(0, {buckets})) AS bucket) u, archive
+  WHERE u.bucket NOT IN (SELECT bucket FROM placed_members) AND kind = 'dir' AND path NOT LIKE '%/%')
+"""
+
+
+@work.query(
+    "plan_pack_archive_members",
+    _fill(
+        ARCHIVE_MEMBERS_SQL
+        + """
+SELECT bucket, path, kind, size, fixed::INTEGER AS mode, uid, gid, link_target FROM placed_members WHERE kind <> 'dir'
+UNION ALL
+SELECT d.bucket, d.path, 'dir', c.size, c.fixed::INTEGER, c.uid, c.gid, c.link_target
+FROM dirs d LEFT JOIN clean c ON c.path = d.path AND c.kind = 'dir'
+""",
+        ARCHIVE_LIMIT,
+        ARCHIVE_CEILING,
+    ),
+)
+def plan_pack_archive_members(spark, sf_dir):
+    entries = stage(archive_entries(spark, sf_dir), "archive-entries")
+    packing = pack_archive(entries, "", ARCHIVE_LIMIT, archive_ceiling(entries))
+    return packing.members.select("bucket", "path", "kind", "size", "mode", "uid", "gid", "link_target")
