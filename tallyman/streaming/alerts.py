@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyman.operators.sync import STALL_AFTER_S, STALL_BYTES_PER_S, STALL_TICK_S, stalling
 
 STATE = "started long, last long, got long, done long, late long"
-ALERT = "transfer long, at_us long, elapsed_us long, got long, late long"
+ALERT = "at_us long, elapsed_us long, got long, late long"
 
 
 def stall_alerts(
@@ -23,6 +24,8 @@ def stall_alerts(
 ) -> DataFrame:
     """One alert per stalled transfer from a stream ``(transfer, at, seq, bytes)``.
 
+    ``transfer`` may be of any type.
+
     Rows of one micro-batch are put in order before they are folded. A row older than the
     transfer's last tick comes too late to change it: it is dropped and counted in ``late``.
     A transfer's rows of one micro-batch go through one task, so the source's trigger limit
@@ -47,11 +50,12 @@ def stall_alerts(
         yield alerts
 
     rows = progress.select(
-        F.col("transfer").cast("long"),
+        "transfer",
         F.unix_micros("at").alias("at_us"),
         "seq",
         F.col("bytes").cast("long"),
     )
+    alert = T.StructType([rows.schema["transfer"], *T.StructType.fromDDL(ALERT).fields])
     return rows.groupBy("transfer").applyInPandasWithState(
-        update, ALERT, STATE, "append", GroupStateTimeout.NoTimeout
+        update, alert, STATE, "append", GroupStateTimeout.NoTimeout
     )

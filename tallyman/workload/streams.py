@@ -73,6 +73,21 @@ def t2_unique_digests(spark, sf_dir):
     return drain_appended(unique_digests(blobs), "digests")
 
 
+@work.query(
+    "t2_unique_digests_bounded",
+    "SELECT sha256(text) AS digest, count(DISTINCT octet_length(encode(text)))::BIGINT AS sizes FROM documents GROUP BY 1",
+)
+def t2_unique_digests_bounded(spark, sf_dir):
+    """The same with event time: the state of a digest is dropped an hour after it was seen."""
+    blobs = stream(spark, sf_dir, "documents").select(
+        hex_digest(F.col("text")).alias("digest"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("doc_id", F.lit(3000))).alias("at"),
+    )
+    once = drain_appended(unique_digests(blobs, at="at"), "bounded-digests")
+    return once.groupBy("digest").agg(F.count("size").alias("sizes"))
+
+
 @work.query(
     "t3_stall_alerts",
     TICKS_SQL + "SELECT transfer, at_us, elapsed_us, got, 0::BIGINT AS late FROM ticks WHERE stalled",

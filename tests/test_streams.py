@@ -72,10 +72,10 @@ def test_stall_alerts_in_order(spark, tmp_path, rows):
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    schema = "transfer long, at timestamp, seq long, bytes long"
+    schema = "transfer string, at timestamp, seq long, bytes long"
     at = lambda s: T0 + dt.timedelta(seconds=s)
-    first = spark.createDataFrame([(1, at(0), 0, 5), (1, at(40), 2, 5)], schema)
-    later = spark.createDataFrame([(1, at(10), 1, 10**9), (1, at(90), 3, 5)], schema)
+    first = spark.createDataFrame([("t", at(0), 0, 5), ("t", at(40), 2, 5)], schema)
+    later = spark.createDataFrame([("t", at(10), 1, 10**9), ("t", at(90), 3, 5)], schema)
     for n, df in enumerate([first, later]):
         df.coalesce(1).write.parquet(f"{tmp_path}/b{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
