@@ -2,7 +2,8 @@
 
 Equal texts form a group that no shard border may cut. Groups are ordered by a hash of the
 text, and the shards are consecutive runs of that order whose largest is as small as possible.
-The smallest feasible capacity is found by binary search with a greedy check. The check needs
+The smallest feasible capacity is found by binary search with a greedy check, and the cuts that
+keep to it are laid as evenly as it allows. The check needs
 sums over the order, not the groups themselves: the order is held as a tree of hash prefixes,
 and only prefixes in which a border may still fall are opened further. The driver holds a
 bounded number of sums, whatever the number of documents.
@@ -110,8 +111,35 @@ def minimax_borders(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         if low == high or not unsure.any():
             break
         order.refine(np.flatnonzero(unsure))
-    borders = _borders(sizes, high, shards)
-    return [int(order.nodes[b, 0]) for b in borders[:-1]], high
+    # Among the partitions of that capacity, an even one: open what lies where it would be cut.
+    while True:
+        sizes, single = order.nodes[:, 2], order.nodes[:, 3].astype(bool)
+        borders = _even_borders(sizes, high, shards)
+        near = {i for b in borders for i in (b - 1, b) if 0 <= i < len(sizes) and not single[i]}
+        if not near:
+            return [int(order.nodes[b, 0]) for b in borders], high
+        order.refine(np.array(sorted(near)))
+
+
+def _even_borders(sizes: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Borders of shards of at most ``capacity``, each near the mean of what is left."""
+    ends = np.cumsum(sizes)
+    at, out = 0, []
+    for k in range(shards, 1, -1):
+        before = int(ends[at - 1]) if at else 0
+        most = int(np.searchsorted(ends, before + capacity, "right"))
+        aim = before + (int(ends[-1]) - before) / k
+        best = int(np.searchsorted(ends, aim, "left"))
+        if best < len(ends) and (best == at or ends[best] - aim <= aim - ends[best - 1]):
+            best += 1
+        best = min(max(best, at + 1), most)
+        if best < most and best < len(sizes) and _borders(sizes[best:], capacity, k - 1) is None:
+            best = most
+        at = best
+        if at >= len(sizes):
+            break
+        out.append(at)
+    return out
 
 
 def shard_documents(
