@@ -1,4 +1,4 @@
-"""Column functions shared by the operators. All stay inside generated code."""
+"""Column functions shared by the operators. None of them is a Python UDF."""
 
 from tallyman.functions.naming import chunk_suffix, part_letters
 from tallyman.functions.paths import (
