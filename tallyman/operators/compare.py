@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyman.operators.ordered import with_row_number
+from tallyman.session import stage
 
 
 def compare_rankings(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
@@ -77,12 +78,14 @@ def page_diff(
             F.lit(sign).alias("n"),
         )
 
-    unbalanced = (
+    # Written once: the lines are exploded and shuffled for counts and samples together.
+    unbalanced = stage(
         lines(left, 1)
         .unionByName(lines(right, -1))
         .groupBy("page", "line")
         .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") != 0)
+        .filter(F.col("n") != 0),
+        "unbalanced-lines",
     )
     first = Window.partitionBy("page").orderBy("line")
     shown = (
