@@ -36,8 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _is_star_forest(links: DataFrame) -> bool:
     """Each node hangs on one root, and no root hangs on another."""
-    parents = links.groupBy("u").agg(F.count("*").alias("n"))
-    if not parents.filter("n > 1").isEmpty():
-        return False
-    roots = links.select(F.col("v").alias("r")).distinct()
-    return roots.join(parents, F.col("r") == F.col("u"), "left_semi").isEmpty()
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()

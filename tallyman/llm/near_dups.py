@@ -1,17 +1,16 @@
 """Near-duplicate documents by MinHash bands, odd sketches and an exact check.
 
-Each document's shingle set gives ``bands * rows`` MinHash samples. A band of equal samples
-makes two documents candidates. The samples are also folded into an odd sketch: a bitmap whose
-bit is set if an odd number of samples fall on it. The XOR of two sketches has about as many
-bits set as samples differ, which tells high similarities apart precisely in 32 bytes.
-Candidates whose sketches rule out the threshold (by six standard deviations) go; the others
-are compared on their full sets.
-
-No bucket is turned into all of its pairs. Documents with equal sets form one class first.
-In each bucket the members meet its smallest class; those that stay apart meet the smallest of
-what is left, twice. Only buckets that still hold several components are compared in blocks:
-the members outside of the largest component against all members, sketch by sketch in a
-task's arrays, and only what the sketches let pass comes out.
+Each document's shingle set gives ``bands * rows`` MinHash samples; a band of equal samples
+makes two documents candidates. A second set of samples, the least shingle of each of
+``BINS`` parts of the hash range, is folded into an odd sketch: a bitmap in which every sample
+turns one bit over. The XOR of two sketches has about as many bits set as samples differ, and
+tells high similarities apart precisely. Candidates whose sketches rule the threshold out go;
+the others are compared on their full sets.
+
+No bucket is turned into all of its pairs. Documents with equal sets form one class first. In
+each bucket the members meet its smallest class. Only buckets that still hold several
+components are compared in blocks: the members outside of the largest component against all
+members, sketch by sketch in a task's arrays, and only what the sketches let pass comes out.
 """
 
 from __future__ import annotations
@@ -29,35 +28,55 @@ from tallyman.session import stage
 
 BANDS = 20
 ROWS = 4
-#: Bits of an odd sketch.
-SKETCH_BITS = 256
+#: Bits of an odd sketch, and parts of the hash range whose least shingles it holds.
+SKETCH_BITS = 2048
+BINS = 4096
+#: Standard deviations that a candidate may lie beyond the threshold.
+SLACK = 5
 #: Rows of a bucket that are compared as one block.
-BLOCK = 256
-#: Rounds in which the members of a bucket meet one of them.
-HUB_ROUNDS = 2
+BLOCK = 512
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketches (as 64-bit words) of non-empty sets."""
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """A key for each band of MinHash samples of non-empty sets."""
     n, k = len(sets), bands * rows
     values = np.concatenate(sets)
     begins = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
     keys = np.empty((n, bands), np.uint64)
-    bits = np.zeros((n, SKETCH_BITS), np.uint8)
     factor, shift = seeds(k, 11) | np.uint64(1), seeds(k, 12)
-    every = np.arange(n)
     for band in range(bands):
         key = np.full(n, seeds(bands, 13)[band], np.uint64)
-        for row in range(rows):
-            i = band * rows + row
+        for i in range(band * rows, band * rows + rows):
             hashed = (values ^ shift[i]) * factor[i]
             hashed ^= hashed >> np.uint64(32)
             hashed *= factor[k - 1 - i]
-            low = np.minimum.reduceat(hashed, begins)
-            key = mix(key ^ low) + np.uint64(row)
-            bits[every, mix(low ^ shift[i]) % np.uint64(SKETCH_BITS)] ^= 1
+            key = mix(key ^ np.minimum.reduceat(hashed, begins)) + np.uint64(1)
         keys[:, band] = key
-    return keys, np.packbits(bits, axis=1).view(np.uint64)
+    return keys
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set of sorted hashes, as 64-bit words."""
+    part = shingles // np.uint64((1 << 64) // BINS)
+    samples = shingles[np.concatenate(([True], part[1:] != part[:-1]))]
+    bits = np.bincount((mix(samples) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def most_odd_bits(total, percent: int, m=np):
+    """Bits that may be set in the XOR of two sketches whose sets have ``total`` shingles together.
+
+    ``m`` gives exp, sqrt and pow: numpy's, or those of Spark's columns. At the threshold the
+    union has total / (1 + J) shingles. The expected number of samples that differ follows from
+    how full the parts are; no more bits than samples can turn over.
+    """
+    j = percent / 100
+    load = total / ((1 + j) * BINS)
+    apart = BINS * (1 - m.exp(-load)) * (1 - j) * (2 - m.exp(-load * ((1 + j) / 2)))
+    apart = apart + SLACK * m.sqrt(2 * apart * (1 - m.exp(-2 * load)) + 1)
+    half = SKETCH_BITS / 2
+    odd = half * (1 - m.exp(-apart / half))
+    return apart, odd + SLACK * (SKETCH_BITS / 4) ** 0.5
 
 
 def _describe(shingle: int, bands: int, rows: int):
@@ -72,9 +91,9 @@ def _describe(shingle: int, bands: int, rows: int):
                 keys, sketches = [None] * len(sets), [None] * len(sets)
                 full = np.flatnonzero(sizes)
                 if len(full):
-                    k, o = signatures([sets[i] for i in full], bands, rows)
+                    own = band_keys([sets[i] for i in full], bands, rows).view(np.int64)
                     for j, i in enumerate(full):
-                        keys[i], sketches[i] = k[j].view(np.int64), o[j].view(np.int64)
+                        keys[i], sketches[i] = own[j], odd_sketch(sets[i])
                 part = batch.slice(at, to - at)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -110,43 +129,34 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(words, shingle)
 
 
-def _block_pairs(percent: int, samples: int):
-    worst = _worst_overlap(percent, samples)
-
+def _block_pairs(percent: int):
     def arrays(rows):
-        node = np.array([r["node"] for r in rows.as_py()], np.int64)
-        comp = np.array([r["comp"] for r in rows.as_py()], np.int64)
-        n = np.array([r["n"] for r in rows.as_py()], np.int64)
-        sketch = np.array([r["sketch"] for r in rows.as_py()], np.int64).view(np.uint64)
-        return node, comp, n, sketch
+        items = rows.values
+        get = lambda c: items.field(c).to_numpy()
+        sketch = items.field("sketch").flatten().to_numpy().reshape(len(items), -1)
+        return get("node"), get("comp"), get("n"), sketch.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
-                if not (batch.column("ask")[i].is_valid and batch.column("other")[i].is_valid):
-                    continue
                 x, y = arrays(batch.column("ask")[i]), arrays(batch.column("other")[i])
-                odd = np.bitwise_count(x[3][:, None, :] ^ y[3][None, :, :]).sum(2)
-                small, large = np.minimum.outer(x[2], y[2]), np.maximum.outer(x[2], y[2])
-                ok = (odd <= worst) & (x[1][:, None] != y[1][None, :]) & (100 * small >= percent * large)
-                p, q = np.nonzero(ok)
-                a.append(np.minimum(x[0][p], y[0][q]))
-                b.append(np.maximum(x[0][p], y[0][q]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"]
-            )
+                for k in range(0, len(x[0]), 32):
+                    node, comp, n, sketch = (c[k : k + 32] for c in x)
+                    small, large = np.minimum.outer(n, y[2]), np.maximum.outer(n, y[2])
+                    ok = (comp[:, None] != y[1][None, :]) & (100 * small >= percent * large)
+                    p, q = np.nonzero(ok)
+                    odd = np.bitwise_count(sketch[p] ^ y[3][q]).sum(1)
+                    samples, bits = most_odd_bits((n[p] + y[2][q]).astype(float), percent)
+                    near = odd <= np.minimum(samples, bits)
+                    a.append(np.minimum(node[p], y[0][q])[near])
+                    b.append(np.maximum(node[p], y[0][q])[near])
+            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return run
 
 
-def _worst_overlap(percent: int, samples: int) -> int:
-    """The most bits that two sketches may differ in and still be worth comparing in full."""
-    j = percent / 100
-    apart = samples * (1 - j) + 6 * (samples * j * (1 - j)) ** 0.5
-    return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * apart)) + 6 * (apart / 4) ** 0.5) + 1
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -196,7 +206,7 @@ def near_duplicates(
         .select("node", "doc", "text_key", "fp1", "fp2", "n", "bands", "sketch"),
         "classes",
     )
-    links = _links(classes, keyed, shingle, percent, bands * rows)
+    links = _links(classes, keyed, shingle, percent)
     tree = components(links)
     named = classes.select("node", "doc", "fp1", "fp2").join(tree, "node", "left")
     named = named.select("doc", "fp1", "fp2", F.coalesce("component", "node").alias("component"))
@@ -214,30 +224,27 @@ def near_duplicates(
     )
 
 
-def _links(classes: DataFrame, keyed: DataFrame, shingle: int, percent: int, samples: int) -> DataFrame:
+def _links(classes: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Confirmed pairs of classes that connect all classes which share a bucket and are similar."""
     bucketed = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    # The members still to be told apart, with the component each belongs to so far.
-    left = stage(bucketed.join(shared, "bucket").withColumn("comp", F.col("node")), "buckets")
-    found = None
-    for turn in range(HUB_ROUNDS):
-        hubs = left.groupBy("bucket").agg(F.min("comp").alias("hub_comp"), F.min_by("node", "comp").alias("hub"))
-        pairs = left.join(hubs, "bucket").filter("comp != hub_comp")
-        pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        new = _confirmed(_sketched(pairs, classes, percent, samples), classes, keyed, shingle, percent)
-        found = stage(new if found is None else found.unionByName(new), f"links-{turn}")
-        members = _with_components(bucketed.join(shared, "bucket"), found)
-        # What shares the first hub's component has met it; a later hub comes from the rest.
-        split = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        split = split.filter("low < high")
-        open_ = members.join(split.select("bucket", "low"), "bucket")
-        left = stage(open_.filter("comp != low").drop("low"), f"open-{turn}")
-        if left.isEmpty():
-            return found
-    apart = _blocks(stage(open_.drop("low"), "open"), classes, percent, samples)
-    new = _confirmed(apart, classes, keyed, shingle, percent)
-    return stage(found.unionByName(new), "links")
+    hubs = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("m"))
+    left = stage(bucketed.join(hubs.filter("m > 1").select("bucket", "a"), "bucket"), "buckets")
+    texts = _texts(left.select("node").distinct(), classes, keyed)
+    pairs = left.filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    found = stage(_confirmed(_sketched(pairs, classes, percent), texts, shingle, percent), "links")
+    # Many bands give a class many hubs; only buckets that still fall apart go on.
+    members = stage(_with_components(left.select("node", "bucket"), found), "bucket-components")
+    split = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_ = members.join(split.filter("low < high").select("bucket"), "bucket", "left_semi")
+    apart = _blocks(stage(open_, "open"), classes, percent)
+    return stage(found.unionByName(_confirmed(apart, texts, shingle, percent)), "all-links")
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """A text of each class: the documents' texts are shuffled once, here."""
+    heads = classes.join(nodes, "node").select("node", F.col("doc").alias("head"), F.col("text_key").alias("key"))
+    met = keyed.join(heads, (F.col("text_key") == F.col("key")) & F.col("doc").eqNullSafe(F.col("head")))
+    return stage(met.dropDuplicates(["node", "text_key", "doc"]).select("node", "text"), "texts")
 
 
 def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -252,27 +259,19 @@ def _odd_bits(a: str, b: str) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda x, y: x + y)
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int, samples: int) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes and odd sketches leave the threshold possible."""
     side = lambda c: classes.select(
         F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")
     )
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    return met.filter(near & (_odd_bits("sketch_a", "sketch_b") <= _worst_overlap(percent, samples))).select("a", "b")
+    bound = F.least(*most_odd_bits(F.col("n_a") + F.col("n_b"), percent, F))
+    return met.filter(near & (_odd_bits("sketch_a", "sketch_b") <= bound)).select("a", "b")
 
 
-def _confirmed(
-    pairs: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int, percent: int
-) -> DataFrame:
-    """The pairs that reach the threshold on their full sets; each text is fetched once."""
-    pairs = stage(pairs, "candidates")
-    if pairs.isEmpty():
-        return pairs
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    heads = classes.join(asked, "node").select("node", F.col("doc").alias("head"), F.col("text_key").alias("key"))
-    met = keyed.join(heads, (F.col("text_key") == F.col("key")) & F.col("doc").eqNullSafe(F.col("head")))
-    texts = stage(met.dropDuplicates(["node"]).select("node", "text"), "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs that reach the threshold on their full sets."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return (
         pairs.join(side("a"), "a")
@@ -282,7 +281,7 @@ def _confirmed(
     )
 
 
-def _blocks(members: DataFrame, classes: DataFrame, percent: int, samples: int) -> DataFrame:
+def _blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs across the components of each bucket, found block by block.
 
     Blocks are cut by hash and hold about ``BLOCK`` rows. Those of the largest component ask
@@ -316,7 +315,7 @@ def _blocks(members: DataFrame, classes: DataFrame, percent: int, samples: int)
         )
         .filter("size(ask) > 0 AND size(other) > 0")
     )
-    found = units.select("ask", "other").mapInArrow(_block_pairs(percent, samples), "a long, b long")
+    found = units.select("ask", "other").mapInArrow(_block_pairs(percent), "a long, b long")
     return found.distinct()
 
 
