@@ -54,10 +54,13 @@ def _retain(min_words: int, anchor: int):
         for batch in batches:
             for at, to, words in column_words(batch.column("text")):
                 grams = window_hashes(words.hashes, anchor, 1)
-                found = []
+                found, times = [], []
                 for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True):
                     own = grams[a : max(a, b - anchor + 1)]
-                    found.append(own[minimisers(own, span)[0]].view(np.int64))
+                    # A text that repeats itself names a suffix once.
+                    once, n = np.unique(own[minimisers(own, span)[0]], return_counts=True)
+                    found.append(once.view(np.int64))
+                    times.append(n)
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,8 +69,9 @@ def _retain(min_words: int, anchor: int):
                         part.column("k2"),
                         pa.array(words.counts.astype(np.int64)),
                         pa.array(found, pa.list_(pa.int64())),
+                        pa.array(times, pa.list_(pa.int64())),
                     ],
-                    ["doc", "k1", "k2", "n_words", "suffixes"],
+                    ["doc", "k1", "k2", "n_words", "suffixes", "times"],
                 )
 
     return run
@@ -207,7 +211,7 @@ def repeated_passages(
     retained = stage(
         source.mapInArrow(
             _retain(min_words, anchor_words),
-            "doc long, k1 long, k2 long, n_words long, suffixes array<long>",
+            "doc long, k1 long, k2 long, n_words long, suffixes array<long>, times array<long>",
         ).filter("n_words >= %d" % min_words),
         "suffixes",
     )
@@ -220,10 +224,13 @@ def repeated_passages(
     )
     reps = same.select("k1", "k2", F.col("rep").alias("doc"))
     heads = retained.join(reps, ["k1", "k2", "doc"], "left_semi").dropDuplicates(["doc", "k1", "k2"])
-    suffix = heads.select("doc", "k1", "k2", F.explode("suffixes").alias("suffix"))
-    shared = suffix.groupBy("suffix").agg(F.count("*").alias("n")).filter("n > 1").select("suffix")
+    each = F.inline(F.arrays_zip(F.col("suffixes").alias("suffix"), F.col("times").alias("n")))
+    suffix = heads.select("doc", "k1", "k2", each)
+    # Staged for a shuffle of its own on both sides of the join, so that a hot suffix can be split.
+    shared = stage(suffix.groupBy("suffix").agg(F.sum("n").alias("n")).filter("n > 1").select("suffix"), "shared")
     wanted = (
-        suffix.join(shared, "suffix")
+        suffix.select("doc", "k1", "k2", "suffix")
+        .join(shared, "suffix")
         .groupBy("doc", "k1", "k2")
         .agg(F.collect_set("suffix").alias("wanted"))
     )
@@ -239,7 +246,9 @@ def repeated_passages(
     places = passages.groupBy("passage").agg(
         F.min("doc").alias("origin"), F.max("doc").alias("last"), F.max("again").alias("again_any")
     )
-    places = places.filter("origin < last OR again_any").select("passage", "origin")
+    # Staged, so that the join has a shuffle of its own on both sides and a passage that very many
+    # documents share can be split.
+    places = stage(places.filter("origin < last OR again_any").select("passage", "origin"), "places")
     found = passages.join(places, "passage").groupBy("doc").agg(
         F.collect_list(
             F.struct("start", ((F.col("doc") > F.col("origin")) | F.col("again")).alias("later"), "origin")
