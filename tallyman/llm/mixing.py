@@ -29,6 +29,8 @@ STEPS = 1 << 20
 ARITY = 32
 #: Rows that one window task sums up, about.
 RUN_ROWS = 50_000
+#: A source's permutation is cut in 2 ** LEAST_BITS ranges at least.
+LEAST_BITS = 5
 
 
 def permuted(seed: str, *parts: Column) -> Column:
@@ -92,7 +94,7 @@ def _plan(rows: DataFrame, target_entropy: float, max_passes: float) -> tuple[Da
     plan = plan.withColumn("passes", F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(F.lit(1)))
     plan = plan.withColumn("part", F.col("quota") - F.col("passes") * F.col("total"))
     # Running sums: within ranges of the key, and over the ranges.
-    bits = (int(facts["units"] or 0) // RUN_ROWS).bit_length()
+    bits = LEAST_BITS + (int(facts["units"] or 0) // RUN_ROWS).bit_length()
     ranged = units.withColumn("range", F.shiftright("key", 60 - bits))
     sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("tokens"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
