@@ -34,13 +34,29 @@ SMALL_SHARE = 1 / 4
 #: Numbers of groups that are tried.
 GROUPINGS = (48, 384, 1024)
 #: Distinct words a task remembers; more make it start anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
+
+
+_BETWEEN = b"\x01"
+#: Signs that are tokens of their own behind an ASCII letter; the apostrophe may begin one.
+_SIGNS = bytes(c for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "'"))
+
+
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """What a word's ids are put together from. ASCII is lower-cased, as the tokenizer would."""
+    if b"<|" in word:  # may be a special token
+        return (word,)
+    core = word.rstrip(_SIGNS)
+    if len(core) == len(word) or not core[-1:].isalpha():
+        return (word.lower() if word.isascii() else word,)
+    return (core.lower() if core.isascii() else core, word[len(core) :])
 
 
 class WordTokens:
     """Token ids word by word, each distinct word encoded once.
 
-    For tokenizers that never join what white space separates.
+    For tokenizers that lower-case, and never join what white space separates, nor letters and
+    signs (apostrophes aside).
     """
 
     def __init__(self, path: str):
@@ -56,34 +72,66 @@ class WordTokens:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
+        """Makes every word known: as its core, or its core and the signs behind that."""
         if len(self.index) > WORDS_KEPT:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if not new:
-            return
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        counts, ids = [], []
-        for at in range(0, len(new), 20_000):
-            texts = [w.decode("utf-8") for w in new[at : at + 20_000]]
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                own = e.ids
-                counts.append(len(own))
-                ids.extend(own)
-        counts = np.array(counts, np.int64)
+        index = self.index
+        whole: dict[bytes, bytes] = {}
+        ended: dict[bytes, tuple[bytes, ...]] = {}
+        for word in set(words).difference(index):
+            if word.isalpha():
+                whole[word] = word.lower()
+            else:
+                parts = _parts(word)
+                if len(parts) == 1:
+                    whole[word] = parts[0]
+                else:
+                    ended[word] = parts
+        missing = {*whole.values(), *(p for parts in ended.values() for p in parts)}.difference(index)
+        self._encode(list(missing))
+        index.update(zip(whole, map(index.__getitem__, whole.values()), strict=True))
+        # Words of two parts: their ids are gathered from where the parts' are.
+        known = np.array([index[p] for parts in ended.values() for p in parts], np.int64)
+        ids, counts = self._gather(known)
+        self._append(list(ended), ids, counts.reshape(-1, 2).sum(1))
+
+    def _gather(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after another, and how many each has."""
+        counts = self.counts[known]
+        ends = np.cumsum(counts)
+        place = np.repeat(self.begins[known] - ends + counts, counts)
+        return self.ids[place + np.arange(len(place))], counts
+
+    def _append(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.counts), len(self.counts) + len(words)), strict=True))
         self.begins = np.concatenate((self.begins, len(self.ids) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
-        self.ids = np.concatenate((self.ids, np.array(ids, np.uint32)))
+        self.ids = np.concatenate((self.ids, ids)).astype(np.uint32)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Makes these words known. Many are encoded as one text, with a sign between them."""
+        plain = [w for w in words if _BETWEEN not in w]
+        texts = [b" \x01 ".join(plain[i : i + 200]).decode("utf-8") for i in range(0, len(plain), 200)]
+        (mark,) = self.tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            own = np.array(e.ids, np.uint32)
+            between = own == mark
+            counts.append(np.diff(np.concatenate(([-1], np.flatnonzero(between), [len(own)]))) - 1)
+            ids.append(own[~between])
+        odd = [w for w in words if _BETWEEN in w]
+        for word in odd:
+            ids.append(np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(ids[-1])]))
+        self._append(plain + odd, np.concatenate(ids), np.concatenate(counts))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
         self.learn(words)
         known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        counts = self.counts[known]
-        ends = np.cumsum(counts)
-        place = np.repeat(self.begins[known] - ends + counts, counts)
-        ids = self.ids[place + np.arange(len(place))]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
+        ids, counts = self._gather(known)
+        edges = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
