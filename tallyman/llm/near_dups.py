@@ -133,24 +133,33 @@ def _block_pairs(percent: int):
     def arrays(rows):
         items = rows.values
         get = lambda c: items.field(c).to_numpy()
-        sketch = items.field("sketch").flatten().to_numpy().reshape(len(items), -1)
-        return get("node"), get("comp"), get("n"), sketch.view(np.uint64)
+        wide = lambda c: items.field(c).flatten().to_numpy().reshape(len(items), -1)
+        asks = items.field("asks").to_numpy(zero_copy_only=False)
+        return get("node"), get("comp"), get("n"), wide("sketch").view(np.uint64), wide("bands"), asks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
                 x, y = arrays(batch.column("ask")[i]), arrays(batch.column("other")[i])
+                bucket = batch.column("bucket")[i].as_py()
                 for k in range(0, len(x[0]), 32):
-                    node, comp, n, sketch = (c[k : k + 32] for c in x)
+                    node, comp, n, sketch, bands, _ = (c[k : k + 32] for c in x)
                     small, large = np.minimum.outer(n, y[2]), np.maximum.outer(n, y[2])
                     ok = (comp[:, None] != y[1][None, :]) & (100 * small >= percent * large)
+                    # Of two that ask each other, the smaller one does.
+                    ok &= ~y[5][None, :] | (node[:, None] < y[0][None, :])
                     p, q = np.nonzero(ok)
                     odd = np.bitwise_count(sketch[p] ^ y[3][q]).sum(1)
                     samples, bits = most_odd_bits((n[p] + y[2][q]).astype(float), percent)
                     near = odd <= np.minimum(samples, bits)
-                    a.append(np.minimum(node[p], y[0][q])[near])
-                    b.append(np.maximum(node[p], y[0][q])[near])
+                    p, q = p[near], q[near]
+                    # Pairs that share several buckets come out of the first of them.
+                    first = (bands[p] == y[4][q]).argmax(1)
+                    own = bands[p, first] == bucket
+                    p, q = p[own], q[own]
+                    a.append(np.minimum(node[p], y[0][q]))
+                    b.append(np.maximum(node[p], y[0][q]))
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -297,25 +306,26 @@ def _blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"),
         F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("ask_blocks"),
     )
-    rows = members.join(tops, "bucket").join(classes.select("node", "n", "sketch"), "node")
-    item = F.struct("node", "comp", "n", "sketch").alias("item")
+    rows = members.join(tops, "bucket").join(classes.select("node", "n", "sketch", "bands"), "node")
+    rows = rows.withColumn("asks", F.col("comp") != F.col("main"))
+    item = F.struct("node", "comp", "n", "sketch", "bands", "asks").alias("item")
     mine = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    ask = rows.filter("comp != main").select(
+    ask = rows.filter("asks").select(
         "bucket", mine("ask_blocks").alias("i"), each("all_blocks").alias("j"), item
     )
     other = rows.select("bucket", each("ask_blocks").alias("i"), mine("all_blocks").alias("j"), item)
     units = (
-        ask.withColumn("asks", F.lit(True))
-        .unionByName(other.withColumn("asks", F.lit(False)))
+        ask.withColumn("side", F.lit("ask"))
+        .unionByName(other.withColumn("side", F.lit("other")))
         .groupBy("bucket", "i", "j")
         .agg(
-            F.collect_list(F.when(F.col("asks"), F.col("item"))).alias("ask"),
-            F.collect_list(F.when(~F.col("asks"), F.col("item"))).alias("other"),
+            F.collect_list(F.when(F.col("side") == "ask", F.col("item"))).alias("ask"),
+            F.collect_list(F.when(F.col("side") == "other", F.col("item"))).alias("other"),
         )
         .filter("size(ask) > 0 AND size(other) > 0")
     )
-    found = units.select("ask", "other").mapInArrow(_block_pairs(percent), "a long, b long")
+    found = units.select("bucket", "ask", "other").mapInArrow(_block_pairs(percent), "a long, b long")
     return found.distinct()
 
 
