@@ -4,9 +4,11 @@ Equal texts form a group that no shard border may cut. Groups are ordered by a h
 text, and the shards are consecutive runs of that order whose largest is as small as possible.
 The smallest feasible capacity is found by binary search with a greedy check, and the cuts that
 keep to it are laid as evenly as it allows. The check needs
-sums over the order, not the groups themselves: the order is held as a tree of hash prefixes,
-and only prefixes in which a border may still fall are opened further. The driver holds a
-bounded number of sums, whatever the number of documents.
+sums over the order, not the groups themselves: the order is held as a tree of hash prefixes.
+First only prefixes larger than the largest group and than an even shard are opened, until a hot
+group stands alone; then only those in which a border of the smallest capacity may still fall,
+at most ``OPENED`` a round. So the driver holds a bounded number of sums a round, whatever the
+number of documents, and one group of a third of all bytes opens a prefix a level.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tallyman.session import stage
 ROOT_BITS = 10
 FAN_BITS = 5
 KEY_BITS = 60
+#: Prefixes opened in one round at most.
+OPENED = 1024
 #: Rows of a shard that one window task numbers, about.
 SLOT_ROWS = 50_000
 ID_PARTS = 64
@@ -33,28 +37,36 @@ def order_key(text: Column, doc: Column) -> Column:
 
 
 class _Order:
-    """The order as nodes: ``(first key, bits still open, size, is one group)``, sorted by key."""
+    """The order as nodes, sorted by key.
+
+    A node is ``(first key, bits still open, size, is one group, size of its largest group)``.
+    """
 
     def __init__(self, groups: DataFrame):
         self.groups = groups
-        self.nodes = self._read(groups, KEY_BITS - ROOT_BITS)
-
-    def _read(self, groups: DataFrame, open_bits: int) -> np.ndarray:
-        head = F.shiftright("key", open_bits).alias("head")
-        found = groups.groupBy(head).agg(
-            F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")
+        self.nodes = self._read(KEY_BITS - ROOT_BITS)
+
+    def _read(self, open_bits: int, heads: list[int] | None = None, bits: int = 0) -> np.ndarray:
+        """All nodes with these open bits, or those within the nodes of ``bits`` named by ``heads``."""
+        groups = self.groups
+        if heads is not None:
+            groups = groups.filter(F.shiftright("key", bits).isin(heads))
+        found = groups.groupBy(F.shiftright("key", open_bits).alias("head")).agg(
+            F.sum("size").alias("size"),
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+            F.max("size").alias("most"),
         )
-        rows = [(r.low, open_bits, r.size, r.low == r.high) for r in found.collect()]
-        return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+        rows = [(r.low, open_bits, r.size, r.low == r.high, r.most) for r in found.collect()]
+        return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
     def refine(self, at: np.ndarray) -> None:
-        """Opens the nodes at these places; all have the same open bits or are single groups."""
+        """Opens the nodes at these places that have the most open bits; none is a single group."""
         bits = int(self.nodes[at, 1].max())
         at = at[self.nodes[at, 1] == bits]
         heads = [int(k) >> bits for k in self.nodes[at, 0]]
-        asked = self.groups.filter(F.shiftright("key", bits).isin(heads))
         rest = np.delete(self.nodes, at, axis=0)
-        self.nodes = np.concatenate([rest, self._read(asked, max(bits - FAN_BITS, 0))])
+        self.nodes = np.concatenate([rest, self._read(max(bits - FAN_BITS, 0), heads, bits)])
         self.nodes = self.nodes[np.argsort(self.nodes[:, 0], kind="stable")]
 
 
@@ -85,32 +97,82 @@ def _smallest(sizes: np.ndarray, shards: int) -> int:
     return low
 
 
+def _reach(ends: np.ndarray, whole: np.ndarray, capacity: int, shards: int) -> np.ndarray:
+    """Where the greedy shards of ``capacity`` end, in bytes; nodes that are not whole can be cut anywhere."""
+    at, out = 0, []
+    for _ in range(shards):
+        at += capacity
+        node = int(np.searchsorted(ends, at, "right"))
+        if node == len(ends):
+            at = int(ends[-1])
+        elif whole[node]:
+            at = int(ends[node - 1]) if node else 0
+        out.append(at)
+    return np.array(out)
+
+
+def _least(ends: np.ndarray, single: np.ndarray, low: int, high: int, shards: int) -> int:
+    """Smallest capacity in a range that would do if open nodes could be cut anywhere."""
+    while low < high:
+        middle = (low + high) // 2
+        if _reach(ends, single, middle, shards)[-1] < ends[-1]:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def _unsure(ends: np.ndarray, single: np.ndarray, low: int, high: int, shards: int) -> tuple[np.ndarray, bool]:
+    """Open nodes in which greedy borders of capacities ``low`` to ``high`` may fall, and if these are all.
+
+    Borders are taken from the left, as each depends on those before it, until ``OPENED`` nodes.
+    """
+    first = np.searchsorted(ends, _reach(ends, np.ones(len(ends), bool), low, shards), "right")
+    last = np.searchsorted(ends, _reach(ends, single, high, shards), "right")
+    found: dict[int, None] = {}
+    for a, b in zip(first, last, strict=True):
+        own = a + np.flatnonzero(~single[a : b + 1])
+        fresh = [int(i) for i in own if int(i) not in found]
+        if len(found) + len(fresh) > OPENED:
+            return np.array(sorted(found or fresh[:OPENED]), np.int64), False
+        found.update(dict.fromkeys(fresh))
+    return np.array(sorted(found), np.int64), True
+
+
 def minimax_borders(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """First keys of the shards after the first, and the capacity, for ``groups(key, size)``.
 
     ``groups`` has one row per key. Fewer borders than ``shards - 1`` leave shards empty.
     """
-    order = _Order(groups)
+    return _search(_Order(groups), shards)
+
+
+def _search(order: _Order, shards: int) -> tuple[list[int], int]:
     if not len(order.nodes):
         return [], 0
+    # No capacity is below the largest group or an even shard: larger nodes are opened first.
+    floor = max(int(order.nodes[:, 4].max()), -(-int(order.nodes[:, 2].sum()) // shards))
+    while True:
+        large = (order.nodes[:, 2] > floor) & (order.nodes[:, 3] == 0)
+        if not large.any():
+            break
+        order.refine(np.flatnonzero(large))
     while True:
         sizes, single = order.nodes[:, 2], order.nodes[:, 3].astype(bool)
-        # As if open nodes could be cut anywhere, no capacity below this is feasible; with
-        # nodes kept whole, this one is.
-        low = max(int(sizes[single].max(initial=0)), -(-int(sizes.sum()) // shards))
-        high = _smallest(sizes, shards)
         ends = np.cumsum(sizes)
-        unsure = np.zeros(len(sizes), bool)
-        for k in range(1, shards):
-            # Border k has at most k shards before it and at most the others behind it.
-            first = int(ends[-1]) - (shards - k) * high
-            a = int(np.searchsorted(ends, max(first, 0), "right"))
-            b = int(np.searchsorted(ends, k * high, "right"))
-            unsure[a : b + 1] = True
-        unsure &= ~single
-        if low == high or not unsure.any():
+        # With nodes kept whole, this capacity is feasible; as if open nodes could be cut
+        # anywhere, none below the other is. They differ by the largest open node at most.
+        high = _smallest(sizes, shards)
+        low = _least(ends, single, floor, high, shards)
+        if low == high:
             break
-        order.refine(np.flatnonzero(unsure))
+        at, whole = _unsure(ends, single, low, high, shards)
+        if not whole:
+            # A large group that may or may not fit before a border leaves all later ones open:
+            # one capacity is decided at a time.
+            middle = (low + high) // 2
+            at, _ = _unsure(ends, single, middle, middle, shards)
+        order.refine(at)
     # Among the partitions of that capacity, an even one: open what lies where it would be cut.
     while True:
         sizes, single = order.nodes[:, 2], order.nodes[:, 3].astype(bool)

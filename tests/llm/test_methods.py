@@ -179,6 +179,31 @@ def test_minimax_borders_against_all_capacities(spark, seed, monkeypatch):
     assert max(sum(sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])) == capacity and len(borders) <= 6
 
 
+@pytest.mark.parametrize("share", [0.0, 0.0425, 0.05, 1 / 3])
+def test_hot_group_opens_few_prefixes(spark, share, monkeypatch):
+    """One group of a third of all bytes neither brings all groups to the driver nor asks for all prefixes."""
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 1 << sharding.KEY_BITS, 20_000))
+    sizes = rng.integers(8, 20_000, len(keys))
+    if share:
+        sizes[7_000] = int(sizes.sum() * share / (1 - share))
+    held, asked = [], []
+    refine = sharding._Order.refine
+
+    def counted(self, at):
+        asked.append(len(at))
+        refine(self, at)
+        held.append(len(self.nodes))
+
+    monkeypatch.setattr(sharding._Order, "refine", counted)
+    df = spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist())), "key long, size long")
+    borders, capacity = sharding.minimax_borders(df, 24)
+    assert max(asked) <= 1024 and max(held) <= 12_000 and len(asked) <= 40
+    cuts = [0, *np.searchsorted(keys, borders), len(keys)]
+    assert capacity == sharding._smallest(sizes, 24)
+    assert max(sizes[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:])) <= capacity and len(borders) <= 23
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
