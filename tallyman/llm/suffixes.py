@@ -83,6 +83,7 @@ def _extend(min_words: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")]
             wanted = batch.column("wanted")
             for at, to, words in column_words(batch.column("text")):
                 grams = window_hashes(words.hashes, anchor, 1)
@@ -99,14 +100,17 @@ def _extend(min_words: int, anchor: int):
                     if not len(starts):
                         continue
                     hashes = passages[a + starts]
+                    # Only a text's first passage needs its class.
+                    named = [pa.array(np.full(len(starts), k[at + i], np.int64), mask=starts > 0) for k in keys]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(starts), docs[at + i], np.int64)),
                             pa.array(starts.astype(np.int32)),
                             pa.array(hashes.view(np.int64)),
                             pa.array(_again(hashes, starts, min_words)),
+                            *named,
                         ],
-                        ["doc", "start", "passage", "again"],
+                        ["doc", "start", "passage", "again", "k1", "k2"],
                     )
 
     return _joined(run)
@@ -140,7 +144,7 @@ def _spans(min_words: int):
         for batch in batches:
             out = []
             starts, later, origin = (batch.column(c) for c in ("starts", "later", "origin"))
-            whole, copy = batch.column("whole"), batch.column("copy_of")
+            whole, copy = batch.column("whole_of"), batch.column("copy_of")
             for i in range(batch.num_rows):
                 doc, n = batch.column("doc")[i].as_py(), batch.column("n_words")[i].as_py()
                 if copy[i].is_valid:
@@ -151,8 +155,8 @@ def _spans(min_words: int):
                 at = at[order].astype(np.int64)
                 gone = np.asarray(later[i].values, bool)[order] if len(at) else np.zeros(0, bool)
                 first = origin[i].values.to_numpy()[order] if len(at) else at
-                if whole[i].as_py():
-                    runs = [(0, n, doc)]
+                if whole[i].is_valid:
+                    runs = [(0, n, whole[i].as_py())]
                 else:
                     runs = [(a, b, first[k]) for a, b, k in _merge(at, min_words)]
                 cut = [(a, b) for a, b, _ in _merge(at[gone], min_words)]
@@ -237,9 +241,10 @@ def repeated_passages(
     passages = stage(
         source.join(wanted, ["doc", "k1", "k2"])
         .dropDuplicates(["doc", "k1", "k2"])
-        .select("doc", "text", "wanted")
+        .select("doc", "k1", "k2", "text", "wanted")
         .mapInArrow(
-            _extend(min_words, anchor_words), "doc long, start int, passage long, again boolean"
+            _extend(min_words, anchor_words),
+            "doc long, start int, passage long, again boolean, k1 long, k2 long",
         ),
         "passages",
     )
@@ -249,30 +254,45 @@ def repeated_passages(
     # Staged, so that the join has a shuffle of its own on both sides and a passage that very many
     # documents share can be split.
     places = stage(places.filter("origin < last OR again_any").select("passage", "origin"), "places")
-    found = passages.join(places, "passage").groupBy("doc").agg(
+    found = passages.drop("k1", "k2").join(places, "passage").groupBy("doc").agg(
         F.collect_list(
             F.struct("start", ((F.col("doc") > F.col("origin")) | F.col("again")).alias("later"), "origin")
         ).alias("hits")
     )
+    # A run over a whole text starts with the text's first passage, which may stand in an earlier
+    # document that is no copy: then that one is the origin for the whole class.
+    twice = same.filter("rep < top").drop("top")
+    firsts = (
+        passages.filter("start = 0")
+        .select("k1", "k2", "passage")
+        .join(twice, ["k1", "k2"])
+        .join(places, "passage")
+        .filter("origin < rep")
+        .groupBy("k1", "k2")
+        .agg(F.min("origin").alias("first"))
+    )
+    classes = stage(
+        twice.join(firsts, ["k1", "k2"], "left").withColumn("first", F.coalesce("first", "rep")), "classes"
+    )
     copies = (
         retained.select("doc", "k1", "k2")
         .distinct()
-        .join(same.filter("rep < top"), ["k1", "k2"])
+        .join(classes, ["k1", "k2"])
         .select(
             "doc",
             "n_words",
-            (F.col("doc") == F.col("rep")).alias("whole"),
-            F.when(F.col("doc") > F.col("rep"), F.col("rep")).alias("copy_of"),
+            F.when(F.col("doc") == F.col("rep"), F.col("first")).alias("whole_of"),
+            F.when(F.col("doc") > F.col("rep"), F.col("first")).alias("copy_of"),
         )
         .groupBy("doc")
-        .agg(F.max("n_words").alias("n_words"), F.max("whole").alias("whole"), F.min("copy_of").alias("copy_of"))
+        .agg(F.max("n_words").alias("n_words"), F.min("whole_of").alias("whole_of"), F.min("copy_of").alias("copy_of"))
     )
     runs = (
         found.join(copies, "doc", "full_outer")
         .select(
             "doc",
             F.coalesce("n_words", F.lit(0)).alias("n_words"),
-            F.coalesce("whole", F.lit(False)).alias("whole"),
+            "whole_of",
             "copy_of",
             F.col("hits.start").alias("starts"),
             F.col("hits.later").alias("later"),

@@ -302,6 +302,28 @@ def test_vectors_against_all_pairs(spark, cells, monkeypatch):
     assert got == {i: (int(linked[i].sum()), low[i]) for i in range(len(x))}
 
 
+def test_origin_of_copies_of_a_near_copy(spark):
+    """Equal texts that begin as an earlier text does name that one, all of them."""
+    base = [f"w{i}" for i in range(120)]
+    near = " ".join(base[:80] + ["other"] + base[81:])
+    fresh = " ".join(f"v{i}" for i in range(70))
+    quoting = " ".join(["before"] + base)
+    rows = [
+        (5, " ".join(base)), (9, near), (7, near), (8, near),
+        (11, fresh), (12, fresh),
+        (20, quoting), (21, quoting),
+    ]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    origins = {(r.doc_id, r.start, r.stop): r.origin for r in got}
+    # 5 is repeated throughout by 20, which begins with a word of its own.
+    assert origins == {
+        (5, 0, 120): 5, (7, 0, 120): 5, (8, 0, 120): 5, (9, 0, 120): 5,
+        (11, 0, 70): 11, (12, 0, 70): 11, (20, 0, 121): 20, (21, 0, 121): 20,
+    }
+    cuts = {r.doc_id: (r.cut_from, r.cut_to) for r in got}
+    assert cuts[8] == cuts[9] == ([0], [120]) and cuts[20] == ([1], [121]) and cuts[21] == ([0], [121])
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(3000, 6))
