@@ -253,7 +253,8 @@ def score_quality(
 
     Word statistics cover all documents. The network is fitted on at most ``max_labelled``
     labelled documents of folds 1 to 4 (of the id's CRC-32 modulo 5), fold 1 setting the
-    temperature. A document labelled twice with different labels counts as label 0; null
+    temperature. Of rows with one id the text that comes first by hash is learnt from. A document
+    labelled twice with different labels counts as label 0; null
     labels and null ids teach nothing. Null and empty texts are scored as texts without words.
     Without labels every score is 0.5. Repeated rows are scored alike; an empty table gives no
     rows. No column but the text enters a score.
@@ -270,11 +271,14 @@ def score_quality(
         .limit(max_labelled)
     )
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # Rows that share an id: the one whose text comes first by hash, wherever it is read.
+    first = F.min_by(F.struct("text", "label", "fold"), F.struct(F.xxhash64("text"), "text")).alias("row")
     sample = (
         texts.join(F.broadcast(known), "id")
-        .select("text", "label", "fold")
+        .groupBy("id")
+        .agg(first)
+        .select("row.text", "row.label", "row.fold")
         .mapInArrow(_pool(vectors), "label int, fold long, x array<double>")
-        .limit(2 * max_labelled)
         .toPandas()
     )
     x = np.array(sample["x"].tolist(), np.float64).reshape(len(sample), DIMENSIONS + 3)

@@ -342,6 +342,20 @@ def test_quality_on_documents_it_has_not_seen(spark):
     assert ((held.score >= quality.THRESHOLD) == (held.quality == 1)).mean() >= 0.95
 
 
+def test_quality_does_not_depend_on_the_order_of_rows_with_one_id(spark):
+    rng = random.Random(5)
+    rows = [(i, a_text(rng, 60, 40 if i % 2 else 4000)) for i in range(60) for _ in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    scores = []
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        scored = quality.score_quality(docs, labels, max_labelled=60)
+        scores.append({(r.doc_id, r.text): r.score for r in scored.select("row.*", "score").collect()})
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys()
+        assert max(abs(other[k] - scores[0][k]) for k in other) < 1e-9
+
+
 def test_packing_of_a_table_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
