@@ -17,6 +17,7 @@ MODULES = (
     "quality_queries",
     "near_dup_queries",
     "suffix_queries",
+    "decontamination_queries",
 )
 
 
