@@ -18,6 +18,7 @@ MODULES = (
     "near_dup_queries",
     "suffix_queries",
     "decontamination_queries",
+    "whitening_queries",
 )
 
 
