@@ -19,6 +19,7 @@ MODULES = (
     "suffix_queries",
     "decontamination_queries",
     "whitening_queries",
+    "conversation_queries",
 )
 
 
