@@ -19,16 +19,21 @@ def require_ok(df: DataFrame, status: str = "status", ok: tuple[str, ...] = ("ok
     return df
 
 
-def write_buckets(assigned: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_buckets(assigned: DataFrame, path: str, mode: str = "overwrite", refused: str | None = None) -> None:
     """One folder per ``(root, bucket)``; a bucket's rows are in that folder only.
 
-    Rows without a bucket are refused before anything is written: ``assigned`` is looked
-    through for them first, so it should be staged. The rebalance hint gathers small buckets' rows into few files and lets AQE split a
-    bucket with very many rows over several tasks.
+    Rows without a bucket are written to ``refused``, with their status if they have one, so that
+    they can be packed again with another limit or looked into. Without such a path they are
+    refused before anything is written: ``assigned`` is looked through for them first, so
+    it should be staged. The rebalance hint gathers small buckets' rows into few files and lets
+    AQE split a bucket with very many rows over several tasks.
     """
-    unplaced = assigned.filter(F.col("bucket").isNull()).count()
-    if unplaced:
-        raise RefusedError(f"without a bucket x{unplaced}")
+    unplaced = assigned.filter(F.col("bucket").isNull())
+    if refused is not None:
+        unplaced.write.mode(mode).parquet(refused)
+        assigned = assigned.filter(F.col("bucket").isNotNull())
+    elif unknown := unplaced.count():
+        raise RefusedError(f"without a bucket x{unknown}")
     (
         assigned.hint("rebalance", "root", "bucket")
         .write.mode(mode)

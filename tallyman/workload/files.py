@@ -287,16 +287,31 @@ def s7_read_readings(spark, sf_dir):
     )
 
 
+def written_buckets(spark, packed):
+    """``packed`` as it is read back: what has a bucket from there, the rest from beside it."""
+    packed = stage(packed, "packed")
+    path, refused = scratch_path(spark, "buckets"), scratch_path(spark, "refused")
+    write_buckets(packed, path, refused=refused)
+    back = read_buckets(spark, path, packed.schema).unionByName(spark.read.schema(packed.schema).parquet(refused))
+    return back.select("root", "bucket", "path", "bytes", "status")
+
+
 @work.query(
     "k1_write_buckets",
-    _fill(FIT_SQL + "SELECT root, bucket, path, bytes FROM packed", TREE_LIMIT, TREE_CEILING),
+    _fill(FIT_SQL + "SELECT root, bucket, path, bytes, status FROM packed", TREE_LIMIT, TREE_CEILING),
 )
 def k1_write_buckets(spark, sf_dir):
     pieces = frontier(tree_entries(spark, sf_dir), TREE_LIMIT)
-    packed = stage(pack_first_fit(pieces, TREE_LIMIT, tree_ceiling(spark, sf_dir)).drop("status"), "packed")
-    path = scratch_path(spark, "buckets")
-    write_buckets(packed, path)
-    return read_buckets(spark, path, packed.schema).select("root", "bucket", "path", "bytes")
+    return written_buckets(spark, pack_first_fit(pieces, TREE_LIMIT, tree_ceiling(spark, sf_dir)))
+
+
+@work.query(
+    "k1_refused_pieces",
+    _fill(FIT_SQL + "SELECT root, bucket, path, bytes, status FROM packed", 16_384, 30),
+)
+def k1_refused_pieces(spark, sf_dir):
+    """Files larger than a bucket, and more pieces than all buckets hold."""
+    return written_buckets(spark, pack_first_fit(frontier(tree_entries(spark, sf_dir), 16_384), 16_384, 30))
 
 
 @work.query(

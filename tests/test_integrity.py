@@ -123,6 +123,15 @@ def test_unplaced_rows_are_refused_before_anything_is_written(spark, tmp_path):
     assert read_buckets(spark, path, rows.schema).count() == 1
 
 
+def test_unplaced_rows_are_written_beside_when_asked(spark, rows, tmp_path):
+    path, refused = str(tmp_path / "buckets"), str(tmp_path / "refused")
+    schema = "root string, bucket int, path string, status string"
+    packed = [("r", 0, "a", "ok"), ("r", None, "b", "oversize_file"), ("r", None, "c", "overflow")]
+    write_buckets(spark.createDataFrame(packed, schema), path, refused=refused)
+    assert rows(read_buckets(spark, path), "path", "bucket") == [("a", 0)]
+    assert rows(spark.read.parquet(refused), "path", "status") == [("b", "oversize_file"), ("c", "overflow")]
+
+
 def test_require_ok(spark):
     df = spark.createDataFrame([("ok",), ("bad",), ("bad",)], "status string")
     with pytest.raises(RefusedError, match="bad x2"):
