@@ -143,7 +143,7 @@ class Fold:
     summary: Sequence[Column] = field(default_factory=tuple)
 
 
-def _segments(rows: pa.Table, keys: Sequence[str]) -> list[tuple[int, int, tuple]]:
+def segments(rows: pa.Table, keys: Sequence[str]) -> list[tuple[int, int, tuple]]:
     """``(start, stop, key)`` of each run of one key in sorted rows."""
     n = rows.num_rows
     turns = np.zeros(n, dtype=bool)
@@ -160,7 +160,7 @@ def _segments(rows: pa.Table, keys: Sequence[str]) -> list[tuple[int, int, tuple
     ]
 
 
-def _in_order(rows: pa.Table, reads: Sequence[str]) -> tuple[pa.Table, Columns]:
+def in_order(rows: pa.Table, reads: Sequence[str]) -> tuple[pa.Table, Columns]:
     rows = rows.sort_by("_pos")
     return rows, {name: rows[name].to_numpy() for name in reads}
 
@@ -225,9 +225,9 @@ def _starting_states(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> dic
         current = dict(opened)
 
         def advance(rows: pa.Table) -> pa.Table:
-            rows, columns = _in_order(rows, reads)
+            rows, columns = in_order(rows, reads)
             running, out = None, []
-            for a, b, (*key, chunk) in _segments(rows, [*key_names, "_chunk"]):
+            for a, b, (*key, chunk) in segments(rows, [*key_names, "_chunk"]):
                 running = current[tuple(key)] if running is None else running
                 running, _, _ = step(running, {n: c[a:b] for n, c in columns.items()})
                 out.append({
@@ -259,9 +259,9 @@ def run_fold(chunked: DataFrame, keys: Sequence[str], fold: Fold) -> DataFrame:
 
     def produce(rows: pa.Table) -> pa.Table:
         chunk = rows["_chunk"][0].as_py()
-        rows, columns = _in_order(rows, reads)
+        rows, columns = in_order(rows, reads)
         where, made = [], {name: [] for name in new}
-        for a, b, key in _segments(rows, key_names):
+        for a, b, key in segments(rows, key_names):
             before = starts.value.get((*key, chunk), init)
             _, index, out = step(before, {n: c[a:b] for n, c in columns.items()})
             where.append(index + a)

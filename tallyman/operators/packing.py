@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyman.functions import components, entry_cost
+from tallyman.operators.jumps import Chain, chain_of_cuts
 from tallyman.operators.ordered import CHUNK_ROWS, Fold, ordered_chunks, run_fold
 
 
@@ -153,49 +154,18 @@ def pack_first_fit(
     return _placed(folded, "root", "path", "bytes").unionByName(refused)
 
 
-def next_fit(limit: int, max_buckets: int | None, carry: tuple[str, ...]) -> Fold:
-    """Forward-only buckets over ``cost``; the state is ``(bucket, bytes used)``.
+def next_fit(limit: int) -> Chain:
+    """Forward-only buckets over ``cost``; only rows with ``rolls`` open a new one.
 
-    Only rows with ``rolls`` open a new bucket. Without ``max_buckets`` there is no end to
-    them.
+    A row opens the next bucket if the bucket holds something already and would hold more than
+    ``limit`` with it: if what lies before it is over the bucket's begin, and what lies up to
+    it is over begin plus limit.
     """
-    ceiling = max_buckets if max_buckets is not None else 1 << 62
 
-    def step(state, columns):
-        bucket, used = state
-        upto = np.cumsum(columns["cost"])
-        rolling = np.flatnonzero(columns["rolls"])
-        n, i = len(upto), 0
-        spots = np.full(n, -1, dtype=np.int64)
-        while i < n and bucket < ceiling:
-            base = (int(upto[i - 1]) if i else 0) - used
-            # The first row past the limit, but not one that finds the bucket empty.
-            over = np.searchsorted(upto, base + limit, side="right")
-            filled = 0 if used else np.searchsorted(upto, base, side="right") + 1
-            at = np.searchsorted(rolling, max(i, over, filled))
-            j = int(rolling[at]) if at < len(rolling) else n
-            spots[i:j] = bucket
-            used = (int(upto[j - 1]) if j else 0) - base
-            if j < n:
-                bucket, used = bucket + 1, 0
-            i = j
-        return (bucket, used), np.arange(n), {"spot": spots}
+    def places(columns, upto):
+        return upto - columns["cost"], upto, columns["rolls"].astype(bool)
 
-    def skip(state, chunk):
-        bucket, used = state
-        if bucket >= ceiling:
-            return state
-        return (bucket, used + chunk["total"]) if used + chunk["total"] <= limit else None
-
-    return Fold(
-        init=(0, 0),
-        reads=("cost", "rolls"),
-        step=step,
-        output="spot long",
-        carry=carry,
-        skip=skip,
-        summary=(F.sum("cost").alias("total"),),
-    )
+    return Chain(reads=("cost", "rolls"), places=places, reach=limit, weight="cost")
 
 
 def pack_next_fit(
@@ -217,10 +187,9 @@ def pack_next_fit(
         (F.col("kind") == "file").alias("rolls"),
     )
     chunked = ordered_chunks(costed, ["root", "seq"], chunk_rows, "archive")
-    folded = run_fold(
-        chunked, ["root"], next_fit(limit, max_buckets, ("seq", "path", "kind", "cost"))
-    )
-    return _placed(folded, "root", "seq", "path", "kind", F.col("cost").alias("bytes"))
+    placed = chain_of_cuts(chunked, ["root"], next_fit(limit), ("seq", "path", "kind", "cost"))
+    spot = F.when(F.col("nth") < max_buckets, F.col("nth")).otherwise(-1)
+    return _placed(placed.withColumn("spot", spot), "root", "seq", "path", "kind", F.col("cost").alias("bytes"))
 
 
 def shard_by_key(
@@ -235,9 +204,9 @@ def shard_by_key(
         F.lit("table").alias("root"), F.col(key).alias("seq"), "cost", F.lit(True).alias("rolls")
     )
     chunked = ordered_chunks(rows, ["seq"], chunk_rows, "shards")
-    folded = run_fold(chunked, ["root"], next_fit(limit, None, ("seq", "cost")))
-    return folded.select(
-        F.col("seq").alias(key), F.col("cost").alias("bytes"), F.col("spot").alias("shard")
+    placed = chain_of_cuts(chunked, ["root"], next_fit(limit), ("seq", "cost"))
+    return placed.select(
+        F.col("seq").alias(key), F.col("cost").alias("bytes"), F.col("nth").alias("shard")
     )
 
 

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyman.operators.ordered import CHUNK_ROWS, Fold, ordered_chunks, run_fold
+from tallyman.operators.jumps import Chain, chain_of_cuts
+from tallyman.operators.ordered import CHUNK_ROWS, ordered_chunks
+from tallyman.session import stage
 
 # What a registry answers for something never published, and its limits.
 UNPUBLISHED_CODES = (401, 403, 404)
@@ -171,52 +173,14 @@ def drift(baseline: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def stalling(tick_s: int, after_s: int, min_bytes_per_s: float) -> Fold:
-    """Fold of one transfer's progress. State: started, last tick, bytes, stalled flag.
+def ticking(tick_s: int) -> Chain:
+    """Ticks of a transfer: the first row at least ``tick_s`` after the tick before."""
 
-    Times are microseconds; ``-1`` means not started.
-    """
-    tick, after = tick_s * 1_000_000, after_s * 1_000_000
-
-    def step(state, columns):
-        started, last, got, done = state
-        at, upto = columns["at_us"], got + np.cumsum(columns["bytes"])
-        n, i, ticks = len(at), 0, []
-        if n and not done:
-            if started < 0:
-                started = last = int(at[0])
-            while True:
-                i = max(i, int(np.searchsorted(at, last + tick)))
-                if i >= n:
-                    break
-                last = int(at[i])
-                elapsed, moved = last - started, int(upto[i])
-                rate = moved * 1_000_000 / elapsed if elapsed else float("inf")
-                done = int(rate < min_bytes_per_s and elapsed >= after)
-                ticks.append((i, elapsed, moved, rate, bool(done)))
-                if done:
-                    break
-                i += 1
-            got = int(upto[-1])
-        index, elapsed, moved, rates, stops = (list(c) for c in zip(*ticks)) if ticks else [[]] * 5
-        return (started, last, got, done), np.array(index, dtype=np.int64), {
-            "elapsed_us": np.array(elapsed, dtype=np.int64),
-            "got": np.array(moved, dtype=np.int64),
-            "rate": np.array(rates, dtype=np.float64),
-            "stalled": np.array(stops, dtype=bool),
-        }
-
-    def skip(state, chunk):
-        return state if state[3] else None
-
-    return Fold(
-        init=(-1, -1, 0, 0),
-        reads=("at_us", "bytes"),
-        step=step,
-        output="elapsed_us long, got long, rate double, stalled boolean",
-        carry=("at_us",),
-        skip=skip,
-    )
+    def places(columns, upto):
+        at = columns["at_us"]
+        return at, at, np.ones(len(at), bool)
+
+    return Chain(reads=("at_us",), places=places, reach=max(tick_s * 1_000_000, 1) - 1, weight="bytes")
 
 
 def progress_ticks(
@@ -231,13 +195,32 @@ def progress_ticks(
     ``progress (transfer, at, seq, bytes)`` are byte increments; the first row starts the
     clock. A tick falls on the first row at least ``tick_s`` after the one before. The rate
     is the mean since the start. A tick below the rate once ``after_s`` have passed is a
-    stall, and ends the transfer. A long transfer is folded chunk by chunk.
+    stall, and ends the transfer. Ticks depend on times alone, so they are a chain of
+    cuts; rates need the start and a running sum, and the first stall is a minimum.
     """
     rows = progress.select(
         "transfer", F.unix_micros("at").alias("at_us"), "seq", F.col("bytes").cast("long")
     )
     chunked = ordered_chunks(rows, ["transfer", "at_us", "seq"], chunk_rows, "progress")
-    return run_fold(chunked, ["transfer"], stalling(tick_s, after_s, min_bytes_per_s))
+    marked = chain_of_cuts(chunked, ["transfer"], ticking(tick_s), ("at_us", "seq", "bytes")).filter("first OR cut")
+    begun = marked.filter("first").select(
+        F.col("transfer").alias("t"), F.col("at_us").alias("started"), (F.col("upto") - F.col("bytes")).alias("base")
+    )
+    elapsed, got = F.col("at_us") - F.col("started"), F.col("upto") - F.col("base")
+    rate = F.when(elapsed > 0, got * F.lit(1_000_000.0) / elapsed).otherwise(F.lit(float("inf")))
+    ticks = (
+        marked.filter("cut")
+        .join(begun, F.col("transfer").eqNullSafe(F.col("t")))
+        .select("transfer", "at_us", "nth", elapsed.alias("elapsed_us"), got.alias("got"), rate.alias("rate"))
+        .withColumn("stalled", (F.col("rate") < min_bytes_per_s) & (F.col("elapsed_us") >= after_s * 1_000_000))
+    )
+    ticks = stage(ticks, "ticks")
+    ends = ticks.filter("stalled").groupBy("transfer").agg(F.min("nth").alias("end")).withColumnRenamed("transfer", "t")
+    return (
+        ticks.join(ends, F.col("transfer").eqNullSafe(F.col("t")), "left")
+        .filter(F.col("end").isNull() | (F.col("nth") <= F.col("end")))
+        .select("transfer", "at_us", "elapsed_us", "got", "rate", "stalled")
+    )
 
 
 def stalled(progress: DataFrame, **settings) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyman.operators import ordered, packing, rollup
+from tallyman.operators import jumps, ordered, packing, rollup
 from tallyman.operators.audit import audit_assignment
 from tallyman.sources import RefusedError, read_buckets, require_ok, write_buckets
 
@@ -104,24 +104,44 @@ def test_first_fit_step_is_the_plain_fold(spark, seed):
     assert spots == fit(sizes, limit, most)
 
 
-@pytest.mark.parametrize("seed", range(60))
-def test_next_fit_step_is_the_plain_fold(spark, seed):
-    rng = random.Random(seed)
-    limit, most = rng.choice([(1000, 5), (1000, 400), (50, 1), (300, 9)])
-    costs = [rng.choice([0, 1, 30, 299, 1200]) for _ in range(rng.randint(1, 400))]
-    rolls = [rng.random() < 0.7 for _ in costs]
-    fold = packing.next_fit(limit, most, ())
-    state, spots = fold.init, []
-    cut = rng.randint(0, len(costs))
-    for part in (slice(0, cut), slice(cut, None)):
-        after, _, out = fold.step(
-            state, {"cost": np.array(costs[part], dtype=np.int64), "rolls": np.array(rolls[part], dtype=bool)}
-        )
-        skipped = fold.skip(state, {"total": sum(costs[part])})
-        assert skipped is None or skipped[0] == after[0]
-        state = after
-        spots += [None if s < 0 else int(s) for s in out["spot"]]
-    assert spots == roll(costs, rolls, limit, most)
+@pytest.mark.parametrize("limit,chunk_rows", [(1000, 4), (50, 16), (9000, 8), (300, 1 << 18), (1, 4), (1 << 40, 8)])
+def test_chains_are_the_plain_fold(spark, limit, chunk_rows):
+    """Keys of one row and of hundreds, a null one; rows without cost, over the limit, and that never open."""
+    rng = random.Random(limit)
+    data, want = [], {}
+    for key, n in [("a", 1), ("b", 700), (None, 90), ("c", 2), ("d", 0), ("e", 33)]:
+        costs = [rng.choice([0, 0, 1, 30, 299, 1200]) for _ in range(n)]
+        rolls = [rng.random() < (0.7 if key != "e" else 0.05) for _ in costs]
+        data += [(key, i, c, r) for i, (c, r) in enumerate(zip(costs, rolls))]
+        want |= {(key, i): (spot, sum(costs[: i + 1])) for i, spot in enumerate(roll(costs, rolls, limit, 1 << 30))}
+    df = spark.createDataFrame(data, "k string, seq long, cost long, rolls boolean").repartition(3)
+    chunked = ordered.ordered_chunks(df, ["k", "seq"], chunk_rows)
+    got = jumps.chain_of_cuts(chunked, ["k"], packing.next_fit(limit), ("seq", "cost")).collect()
+    assert {(r.k, r.seq): r.nth for r in got} == {key: spot for key, (spot, _) in want.items()}
+    assert {(r.k, r.seq) for r in got if r["first"]} == {(k, s) for k, s in want if s == 0}
+    assert {(r.k, r.seq) for r in got if r.cut} == {(k, s) for k, s in want if s and want[k, s][0] > want[k, s - 1][0]}
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_chain_grow_with_the_logarithm_of_its_chunks(spark):
+    df = spark.range(4096).select(F.lit("k").alias("k"), F.col("id").alias("seq"), (F.col("id") % 97 + 1).alias("cost"), F.lit(True).alias("rolls"))
+    counts = {}
+    for chunk_rows in (256, 64, 16):
+        chunked = ordered.ordered_chunks(df, ["k", "seq"], chunk_rows)
+        work = lambda: jumps.chain_of_cuts(chunked, ["k"], packing.next_fit(2000), ("seq",)).count()  # noqa: E731,B023
+        counts[4096 // chunk_rows] = jobs_of(spark, work)
+    # Each four times as many chunks cost two more rounds of doubling, not four times the jobs.
+    few, more, many = counts[16], counts[64], counts[256]
+    assert abs((more - few) - (many - more)) <= 4 and many < 2 * few
 
 
 @pytest.mark.parametrize("chunk_rows", [4, 32, 1 << 18])
