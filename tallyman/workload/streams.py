@@ -26,6 +26,7 @@ def stream(spark, sf_dir, name):
     return (
         spark.readStream.schema(table(spark, sf_dir, name).schema)
         .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 1)
         .parquet(sf_dir)
     )
 
@@ -99,7 +100,9 @@ def t3_stall_alerts(spark, sf_dir):
         F.col("event_id").alias("seq"),
         F.round("value").cast("long").alias("bytes"),
     )
-    return drain_appended(stall_alerts(rows, **TICK), "alerts")
+    # The table is one stream of a month: no transfer is over before its end.
+    alerts = stall_alerts(rows, **TICK, idle_s=366 * 86_400, lateness="60 days")
+    return drain_appended(alerts, "alerts").filter("status = 'stalled'").drop("status")
 
 
 WINDOWS_SQL = READINGS_SQL + """,

@@ -80,7 +80,33 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         df.coalesce(1).write.parquet(f"{tmp_path}/b{n}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
     (row,) = drain_appended(stall_alerts(stream, 30, 60, 100.0), "late").collect()
-    assert (row.elapsed_us, row.got, row.late) == (90_000_000, 15, 1)
+    assert (row.elapsed_us, row.got, row.late, row.status) == (90_000_000, 15, 1, "stalled")
+
+
+def test_what_is_over_leaves_no_state(spark, tmp_path):
+    """A transfer that stalls and one that doesn't, both silent from then on, and one that goes on."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "transfer string, at timestamp, seq long, bytes long"
+    batches = [
+        [("slow", at(0), 0, 5), ("slow", at(90), 1, 5), ("fast", at(0), 0, 10**6), ("fast", at(50), 2, 10**6)],
+        [("fast", at(10), 1, 7), ("fast", at(95), 3, 10**6)],
+        [("other", at(4000), 0, 9)],
+        [("slow", at(4100), 2, 5), ("other", at(4110), 1, 10**6)],
+    ]
+    for n, data in enumerate(batches):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    alerts = stall_alerts(stream, 30, 60, 100.0, idle_s=600, lateness="1 minute")
+    query = (
+        alerts.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {(r.transfer, r.status): (r.elapsed_us, r.got, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    # The transfer that never stalls tells of its late row as well; a row after the end begins anew.
+    assert got == {("slow", "stalled"): (90_000_000, 10, 0), ("fast", "ended"): (95_000_000, 3 * 10**6, 1)}
+    left = spark.read.format("statestore").option("stateVarName", "clock").load(f"{tmp_path}/state")
+    assert sorted(r[0] for r in left.select("key.transfer").collect()) == ["other", "slow"]
 
 
 def test_resource_windows(spark, tmp_path, rows):
