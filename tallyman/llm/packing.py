@@ -14,12 +14,14 @@ looks up its own rank's place.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +35,36 @@ CAPACITY = 2048
 SMALL_SHARE = 1 / 4
 #: Numbers of groups that are tried.
 GROUPINGS = (48, 384, 1024)
-#: Distinct words a task remembers; more make it start anew.
-WORDS_KEPT = 800_000
+#: Bytes of distinct words a task remembers; more make it start anew.
+BYTES_KEPT = 8 << 20
+#: Bytes of text that are split and encoded at once; a longer text is encoded alone.
+TEXT_BYTES = 4 << 20
 
 
 _BETWEEN = b"\x01"
+#: Words of letters that lower-casing and composing treat one by one: ASCII and U+00C0 to U+00FF.
+_PLAIN_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Byte-level vocabularies write bytes that don't print as further characters, in order from U+0100 on.
+_WRITTEN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Signs that are tokens of their own behind an ASCII letter; the apostrophe may begin one.
 _SIGNS = bytes(c for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "'"))
 
 
+def _lowered(word: bytes) -> bytes:
+    """Lower-cased as the tokenizer would, where that is sure; else as it is."""
+    if word.isascii():
+        return word.lower()
+    return word.decode("utf-8").lower().encode() if _PLAIN_WORD(word) else word
+
+
 def _parts(word: bytes) -> tuple[bytes, ...]:
-    """What a word's ids are put together from. ASCII is lower-cased, as the tokenizer would."""
+    """What a word's ids are put together from, lower-cased."""
     if b"<|" in word:  # may be a special token
         return (word,)
     core = word.rstrip(_SIGNS)
     if len(core) == len(word) or not core[-1:].isalpha():
-        return (word.lower() if word.isascii() else word,)
-    return (core.lower() if core.isascii() else core, word[len(core) :])
+        return (_lowered(word),)
+    return (_lowered(core), word[len(core) :])
 
 
 class WordTokens:
@@ -68,17 +83,16 @@ class WordTokens:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.held = 0
         self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        """Makes every word known: as its core, or its core and the signs behind that."""
-        if len(self.index) > WORDS_KEPT:
-            self.clear()
+        """Makes new words known, each as its core, or its core and the signs behind that."""
         index = self.index
         whole: dict[bytes, bytes] = {}
         ended: dict[bytes, tuple[bytes, ...]] = {}
-        for word in set(words).difference(index):
+        for word in words:
             if word.isalpha():
                 whole[word] = word.lower()
             else:
@@ -90,6 +104,7 @@ class WordTokens:
         missing = {*whole.values(), *(p for parts in ended.values() for p in parts)}.difference(index)
         self._encode(list(missing))
         index.update(zip(whole, map(index.__getitem__, whole.values()), strict=True))
+        self.held += sum(map(len, whole)) + sum(map(len, ended)) + sum(map(len, missing))
         # Words of two parts: their ids are gathered from where the parts' are.
         known = np.array([index[p] for parts in ended.values() for p in parts], np.int64)
         ids, counts = self._gather(known)
@@ -109,7 +124,19 @@ class WordTokens:
         self.ids = np.concatenate((self.ids, ids)).astype(np.uint32)
 
     def _encode(self, words: list[bytes]) -> None:
-        """Makes these words known. Many are encoded as one text, with a sign between them."""
+        """Makes these words known.
+
+        Words of plain letters go straight to the vocabulary's merges, as nothing before them
+        would change or split them. Of others many are encoded as one text, with a sign between.
+        """
+        letters = list(filter(_PLAIN_WORD, words))
+        words = list(set(words).difference(letters))
+        merge, found, sizes = self.tokenizer.model.tokenize, [], []
+        for word in letters:
+            tokens = merge(_lowered(word).decode("latin-1").translate(_WRITTEN))
+            sizes.append(len(tokens))
+            found += [t.id for t in tokens]
+        self._append(letters, np.array(found, np.uint32), np.array(sizes, np.int64))
         plain = [w for w in words if _BETWEEN not in w]
         texts = [b" \x01 ".join(plain[i : i + 200]).decode("utf-8") for i in range(0, len(plain), 200)]
         (mark,) = self.tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
@@ -125,14 +152,25 @@ class WordTokens:
             counts.append(np.array([len(ids[-1])]))
         self._append(plain + odd, np.concatenate(ids), np.concatenate(counts))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        self.learn(words)
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, counts = self._gather(known)
-        edges = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(s) for s in split])))]
-        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts, where each text's begin and the last ends)``.
+
+        Arrow splits the texts and finds their distinct words; only those are looked up. White
+        space at a text's ends makes empty words, which have no ids.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        if self.held > BYTES_KEPT:
+            self.clear()
+        known = np.fromiter((self.index.get(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        missing = [distinct[i] for i in new.tolist()]
+        self.learn(missing)
+        known[new] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(new))
+        ids, counts = self._gather(known[words.indices.to_numpy()])
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        return ids, np.concatenate(([0], np.cumsum(counts)))[offsets - offsets[0]]
 
 
 def _pieces(tokenizer_path: str, end_id: int, capacity: int):
@@ -140,13 +178,13 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int):
         part, tokens = TaskContext.get().partitionId(), WordTokens(tokenizer_path)
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            docs = batch.column("doc")
-            data, begins = text_buffers(batch.column("text"))
-            for at, to in slices(begins):
-                texts = [data[begins[i] : begins[i + 1]].tobytes() for i in range(at, to)]
+            docs, column = batch.column("doc"), batch.column("text").cast(pa.large_string()).fill_null("")
+            _, begins = text_buffers(column)
+            for at, to in slices(begins, TEXT_BYTES):
                 owner, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tokens.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                found, edges = tokens.encode(column.slice(at, to - at))
+                for i, (first, last) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    ids = np.append(found[first:last], np.uint32(end_id)).astype("<u4")
                     for k, a in enumerate(range(0, len(ids), capacity)):
                         own = ids[a : a + capacity]
                         owner.append(at + i)

@@ -234,8 +234,22 @@ def test_word_tokens_are_the_tokenizers():
     odd = ["a\x01b c", "<|endoftext|> x<|startoftext|>.", "don't!! it's... x'y 'tis", "éte ́a É.", "f12, a1b2;", "\x1cab\x1d", "“q”. end—.", "İx. ʼs 'S 'LL", "", "x" * 2000]
     texts = odd + ["".join(rng.choice("ab'Zé.,%<|> \n1") for _ in range(60)) for _ in range(300)]
     mine, plain = packing.WordTokens(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    for text, ids in zip(texts, mine.encode([t.encode() for t in texts])):
-        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts += [" ".join("".join(rng.choice("abcXYZéÉàÀßøØÿÝíÍáÁ") for _ in range(rng.randrange(1, 15))) for _ in range(400)), "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ ×÷ a×b e\u0301 E\u0301a"]
+    texts += [" \n lead and trail\t ", "\x0b\x0c", None]
+    for column in (pa.array(texts), pa.array(["gone", *texts]).slice(1)):
+        ids, edges = mine.encode(column.cast(pa.large_string()).fill_null(""))
+        for text, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_that_are_forgotten_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "BYTES_KEPT", 8)
+    mine = packing.WordTokens(tokenizer_path())
+    texts = pa.array(["some words. and", "others, and some"], pa.large_string())
+    first = mine.encode(texts)
+    for _ in range(3):
+        again = mine.encode(texts)
+        assert first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
 
 
 def test_labelled_blocks_and_unseen_pages():
