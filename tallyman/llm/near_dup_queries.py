@@ -38,4 +38,4 @@ GROUP BY d.doc_id
 @work.query("op5_minhash_near_dups", _SQL)
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, shingle=3, percent=85).drop("text_key")
+    return near_duplicates(docs, shingle=3, percent=85).drop("text_key", "component")

@@ -175,7 +175,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """A row per document: id, n_shingles, component_id, kept, and text_key.
+    """A row per document: id, n_shingles, component_id, kept, text_key and component.
 
     Documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``shingle``
     words in a row, A-Z in lower case. A text of fewer words is one shingle; without words (or
@@ -183,7 +183,8 @@ def near_duplicates(
     that links lead to. Bands miss a pair at the threshold with a chance of
     ``(1 - (percent / 100) ** rows) ** bands``: 4e-7 at 85 %, 3e-5 at 80 %.
 
-    Rows with the same id take part one by one. A null id is linked by its text as any other;
+    Rows with the same id take part one by one, each by its own text. ``component`` names a group
+    of linked texts (null for an empty set): ids alone can't where they occur twice. A null id is linked by its text as any other;
     ids that are null are never the smallest of a component, so ``component_id`` is null only
     where all are, and one such row per text is kept. An empty table gives an empty result;
     other columns are not looked at. Memory of a task follows the longest text.
@@ -203,8 +204,7 @@ def near_duplicates(
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "text_key"))
     heads = members.filter("n > 0").groupBy("fp1", "fp2").agg(first.alias("head"))
     heads = heads.select(
-        "fp1", "fp2", F.col("head.doc").alias("doc"), F.col("head.text_key").alias("text_key"),
-        F.coalesce("head.doc", "fp1").alias("node"),
+        "fp1", "fp2", F.col("head.doc").alias("doc"), F.col("head.text_key").alias("text_key")
     )
     classes = stage(
         described.join(
@@ -212,6 +212,8 @@ def near_duplicates(
         )
         .filter(F.col("doc").eqNullSafe(F.col("head_doc")) & (F.col("text_key") == F.col("head_key")))
         .dropDuplicates(["fp1", "fp2"])
+        # A number of its own for each class: an id may stand for several. Written once, it stays.
+        .withColumn("node", F.monotonically_increasing_id())
         .select("node", "doc", "text_key", "fp1", "fp2", "n", "bands", "sketch"),
         "classes",
     )
@@ -220,8 +222,8 @@ def near_duplicates(
     named = classes.select("node", "doc", "fp1", "fp2").join(tree, "node", "left")
     named = named.select("doc", "fp1", "fp2", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = stage(named.join(lowest, "component").select("fp1", "fp2", "component_id"), "named-classes")
-    empty = members.filter("n = 0").withColumn("component_id", F.col("doc"))
+    named = stage(named.join(lowest, "component").select("fp1", "fp2", "component_id", "component"), "named-classes")
+    empty = members.filter("n = 0").select("*", F.col("doc").alias("component_id"), F.lit(None).cast("long").alias("component"))
     linked = members.filter("n > 0").join(named, ["fp1", "fp2"])
     both = linked.select(*empty.columns).unionByName(empty)
     return both.select(
@@ -230,6 +232,7 @@ def near_duplicates(
         "component_id",
         F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
         "text_key",
+        "component",
     )
 
 
@@ -334,16 +337,19 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the smallest id.
 
-    Of rows equal in id and text one stays; empty and null texts are no duplicates of
-    anything, but of such rows with one id one stays. All columns are kept.
+    Of rows equal in id and text one stays, and of unlike texts of that smallest id the first by
+    hash. Empty and null texts are no duplicates of anything, but of such rows with one id one
+    stays. An unlike text stays whatever other text has its id. All columns are kept, of
+    any name; an empty table stays empty.
     """
-    result = near_duplicates(docs, id_col, text_col, shingle, percent)
-    kept = result.filter("kept").select(
-        F.col(f"`{id_col}`").alias("__id"), F.col("text_key").alias("__key")
-    ).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text_col}`")))
-    met = keyed.join(
-        kept.withColumnRenamed("__key", "__kept"),
-        F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")),
+    result = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept")
+    kept = result.select(F.col(f"`{id_col}`").alias("kept_id"), F.col("text_key").alias("kept_key"), "component")
+    linked = kept.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("kept_id", "kept_key")).alias("k")).select("k.*")
+    alone = kept.filter("component IS NULL").select("kept_id", "kept_key").distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("key"),
     )
-    return met.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = rows.join(linked.unionByName(alone), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    return met.dropDuplicates(["id", "key"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

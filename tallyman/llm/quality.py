@@ -231,7 +231,7 @@ def _score(vectors, net: Network):
             for at, to, words in column_words(batch.column("text"), kinds=KINDS):
                 part = batch.slice(at, to - at)
                 scores = net.scores(pooled(words, vectors.value))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores)], ["row", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(scores)], ["row", "text", "score"])
 
     return run
 
@@ -285,11 +285,23 @@ def score_quality(
     order = np.lexsort(x.T)  # the rows arrive in no fixed order
     y, fold = sample["label"].to_numpy(float)[order], sample["fold"].to_numpy()[order]
     net = fit_network(x[order], y, fold == 1)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return packed.mapInArrow(_score(vectors, net), f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    # The text goes through the workers once, beside the other columns.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    scored = packed.mapInArrow(
+        _score(vectors, net), f"row {packed.schema['row'].dataType.simpleString()}, text string, score double"
+    )
+    whole = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return scored.select(F.struct(*whole).alias("row"), "score")
+
 
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **names
+) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``; columns as they are.
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; columns as they are."""
-    kept = score_quality(docs, labels, **names).filter(F.col("score") >= threshold)
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    Null and empty texts are scored like texts without words, repeated rows alike, very long ones
+    whole. Columns may have any name; an empty table stays empty.
+    """
+    kept = score_quality(docs, labels, text_col=text_col, **names).filter(F.col("score") >= threshold)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

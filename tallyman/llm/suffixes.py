@@ -100,8 +100,11 @@ def _extend(min_words: int, anchor: int):
                     if not len(starts):
                         continue
                     hashes = passages[a + starts]
-                    # Only a text's first passage needs its class.
-                    named = [pa.array(np.full(len(starts), k[at + i], np.int64), mask=starts > 0) for k in keys]
+                    # Only a text's first passage needs the second half of its class.
+                    named = [
+                        pa.array(np.full(len(starts), keys[0][at + i], np.int64)),
+                        pa.array(np.full(len(starts), keys[1][at + i], np.int64), mask=starts > 0),
+                    ]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(starts), docs[at + i], np.int64)),
@@ -147,8 +150,9 @@ def _spans(min_words: int):
             whole, copy = batch.column("whole_of"), batch.column("copy_of")
             for i in range(batch.num_rows):
                 doc, n = batch.column("doc")[i].as_py(), batch.column("n_words")[i].as_py()
+                key = batch.column("k1")[i].as_py()
                 if copy[i].is_valid:
-                    out.append((doc, 0, n, copy[i].as_py(), [0], [n]))
+                    out.append((doc, 0, n, copy[i].as_py(), [0], [n], key))
                     continue
                 at = starts[i].values.to_numpy() if starts[i].is_valid else np.zeros(0, np.int32)
                 order = np.argsort(at, kind="stable")
@@ -162,12 +166,12 @@ def _spans(min_words: int):
                 cut = [(a, b) for a, b, _ in _merge(at[gone], min_words)]
                 for a, b, source in runs:
                     mine = [(x, y) for x, y in cut if a <= x and y <= b]
-                    out.append((doc, a, b, source, [x for x, _ in mine], [y for _, y in mine]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
+                    out.append((doc, a, b, source, [x for x, _ in mine], [y for _, y in mine], key))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["doc", "start", "stop", "origin", "cut_from", "cut_to"],
+                ["doc", "start", "stop", "origin", "cut_from", "cut_to", "k1"],
             )
 
     return run
@@ -189,7 +193,7 @@ def repeated_passages(
     min_words: int = MIN_WORDS,
     anchor_words: int = ANCHOR_WORDS,
 ) -> DataFrame:
-    """A row per maximal run of words that repeats: id, start, stop, origin, cut_from, cut_to.
+    """A row per maximal run of words that repeats: id, start, stop, origin, cut_from, cut_to, text_key.
 
     ``start`` and ``stop`` count words (stop excluded). A word belongs to a run if some
     ``min_words`` words around it occur in another document, or in this one without overlap.
@@ -198,7 +202,8 @@ def repeated_passages(
     smaller id, or at least ``min_words`` words to the left. Cutting them leaves one of each.
 
     Null and empty texts, and texts of fewer than ``min_words`` words, have no rows. Rows with
-    the same id count as one document: equal rows are no repeat of each other. A null id
+    the same id count as one document: they are no repeats of each other. Each of their texts has
+    its own runs, named by ``text_key``. A null id
     counts as an id of its own, smaller than all others. Words are compared as they are
     written. An empty table gives no rows; other columns are not looked at. Memory of a task
     follows the longest text.
@@ -254,7 +259,8 @@ def repeated_passages(
     # Staged, so that the join has a shuffle of its own on both sides and a passage that very many
     # documents share can be split.
     places = stage(places.filter("origin < last OR again_any").select("passage", "origin"), "places")
-    found = passages.drop("k1", "k2").join(places, "passage").groupBy("doc").agg(
+    # Texts that share an id are told apart by their hash.
+    found = passages.drop("k2").join(places, "passage").groupBy("doc", "k1").agg(
         F.collect_list(
             F.struct("start", ((F.col("doc") > F.col("origin")) | F.col("again")).alias("later"), "origin")
         ).alias("hits")
@@ -280,17 +286,19 @@ def repeated_passages(
         .join(classes, ["k1", "k2"])
         .select(
             "doc",
+            "k1",
             "n_words",
             F.when(F.col("doc") == F.col("rep"), F.col("first")).alias("whole_of"),
             F.when(F.col("doc") > F.col("rep"), F.col("first")).alias("copy_of"),
         )
-        .groupBy("doc")
+        .groupBy("doc", "k1")
         .agg(F.max("n_words").alias("n_words"), F.min("whole_of").alias("whole_of"), F.min("copy_of").alias("copy_of"))
     )
     runs = (
-        found.join(copies, "doc", "full_outer")
+        found.join(copies, ["doc", "k1"], "full_outer")
         .select(
             "doc",
+            "k1",
             F.coalesce("n_words", F.lit(0)).alias("n_words"),
             "whole_of",
             "copy_of",
@@ -300,12 +308,12 @@ def repeated_passages(
         )
         .mapInArrow(
             _spans(min_words),
-            "doc long, start long, stop long, origin long, cut_from array<long>, cut_to array<long>",
+            "doc long, start long, stop long, origin long, cut_from array<long>, cut_to array<long>, k1 long",
         )
     )
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return runs.select(
-        real("doc").alias(id_col), "start", "stop", real("origin").alias("origin"), "cut_from", "cut_to"
+        real("doc").alias(id_col), "start", "stop", real("origin").alias("origin"), "cut_from", "cut_to", F.col("k1").alias("text_key")
     )
 
 
@@ -315,7 +323,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = batch.column("text")
         data, begins = text_buffers(column)
         spans = batch.column("spans")
-        out = []
+        out, emptied = [], np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
             if not column[i].is_valid or not spans[i].is_valid:
                 out.append(column[i].as_py())
@@ -331,9 +339,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if a < len(starts):
                         keep[where[a] : where[min(b, len(starts))]] = False
             out.append(own[keep].tobytes().decode("utf-8"))
+            emptied[i] = not (keep & word).any()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names if c != "spans"],
-            [c for c in batch.schema.names if c != "spans"],
+            [batch.column("row"), pa.array(out, pa.string()), pa.array(emptied)], ["row", "text", "emptied"]
         )
 
 
@@ -343,27 +351,31 @@ def cut_repeats(
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     anchor_words: int = ANCHOR_WORDS,
+    drop_emptied: bool = False,
 ) -> DataFrame:
     """``docs`` with the copies of repeated passages cut out of the texts.
 
     One occurrence of each passage stays. All columns and all rows are kept; a text that was
-    a copy throughout becomes empty. Rows with the same id are cut alike. Null texts stay null.
+    a copy throughout becomes empty, or goes with ``drop_emptied``. Rows with the same id are cut each by its own text. Null
+    texts stay null. Columns may have any name; an empty table stays empty.
     """
     cut = repeated_passages(docs, id_col, text_col, min_words, anchor_words)
-    cut = cut.filter(F.size("cut_from") > 0).groupBy(id_col).agg(
-        F.collect_list(F.struct("cut_from", "cut_to")).alias("__spans")
+    cut = cut.filter(F.size("cut_from") > 0).groupBy(F.coalesce(id_col, F.lit(_NO_ID)).alias("cut_id"), "text_key").agg(
+        F.collect_list(F.struct("cut_from", "cut_to")).alias("spans")
     )
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
-    cut = cut.select(F.coalesce(id_col, F.lit(_NO_ID)).alias("__id"), "__spans")
-    joined = keyed.join(cut, "__id", "left")
     others = [c for c in docs.columns if c != text_col]
-    packed = joined.select(
+    rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
         F.col(f"`{text_col}`").alias("text"),
-        F.col("__spans").alias("spans"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("key"),
     )
+    same = (F.col("id") == F.col("cut_id")) & (F.col("key") == F.col("text_key"))
+    packed = rows.join(cut, same, "left").select("row", "text", "spans")
     row_type = packed.schema["row"].dataType.simpleString()
-    done = packed.mapInArrow(_cut, f"row {row_type}, text string")
+    done = packed.mapInArrow(_cut, f"row {row_type}, text string, emptied boolean")
+    if drop_emptied:
+        done = done.filter(~F.col("emptied"))
     return done.select(
-        *[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+        *[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     )

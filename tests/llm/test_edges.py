@@ -19,7 +19,7 @@ from tallyman.llm.sharding import shard_documents
 from tallyman.llm.suffixes import cut_repeats, repeated_passages
 from tallyman.llm.vectors import near_duplicate_vectors
 
-CLASHING = ("row", "text_key", "key", "doc", "node", "n", "score", "block", "part", "size", "start", "spans", "id")
+CLASHING = ("row", "text_key", "key", "doc", "node", "n", "score", "block", "part", "size", "start", "spans", "id", "__id", "__key", "__had", "__spans", "__kept", "kept_id", "component", "emptied")
 LONG = " ".join(f"word{i}" for i in range(60))
 
 
@@ -50,7 +50,7 @@ def labels(spark):
 
 
 def test_near_duplicates(docs, rows):
-    got = rows(near_duplicates(docs, shingle=3, percent=85).drop("text_key"))
+    got = rows(near_duplicates(docs, shingle=3, percent=85).drop("text_key", "component"))
     assert got == sorted(
         [
             (1, 58, 1, True), (2, 59, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True),
@@ -78,6 +78,40 @@ def test_repeated_passages(docs, rows):
     assert repeated_passages(docs.limit(0)).count() == 0 and cut_repeats(docs.limit(0)).count() == 0
 
 
+def some(seed, n):
+    return " ".join(f"w{(i * i * seed + 7 * i) % 9973}x{seed}" for i in range(n))
+
+
+def test_unlike_texts_of_one_id_are_told_apart(spark, rows):
+    a = some(3, 100)
+    near = a + " tail"
+    docs = spark.createDataFrame([(1, a), (5, near), (5, some(5, 100)), (7, some(7, 90)), (7, some(7, 90) + " z")], "doc_id long, text string")
+    got = rows(near_duplicates(docs), "doc_id", "component_id", "kept")
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True)]
+    left = rows(drop_near_duplicates(docs), "doc_id", "text")
+    # Of two near duplicates that share the smallest id one goes as well.
+    assert len(left) == 3 and left[:2] == [(1, a), (5, some(5, 100))] and left[2][1].startswith(some(7, 90))
+    docs = spark.createDataFrame([(1, a), (5, some(3, 80) + " tail"), (5, some(5, 200)), (6, None)], "doc_id long, text string")
+    cut = {r.text for r in cut_repeats(docs).collect()}
+    assert cut == {a, "tail", some(5, 200), None}
+
+
+def test_pipeline_on_edge_rows(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    full = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for name, table in (("rows", full), ("empty", full.limit(0))):
+        table.coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.coalesce(1).write.parquet(str(tmp_path / name / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    left = full
+    for name in ("quality", "near_duplicates", "repeated_passages", "mixture"):
+        left = stages[name](spark, left, str(tmp_path / "rows"))
+        assert left.columns == full.columns and left.filter("`__key` = 'clash'").count() == left.count()
+    assert corpus_pipeline.run(spark, str(tmp_path / "rows")).select("doc_id").distinct().count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_mixing(docs, rows):
     used = mix_sources(docs)
     first = used.filter("pass = 0")
