@@ -19,33 +19,43 @@ from tallyman.session import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike.
+    """
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles."""
+    """One document of each group that shares 80 % of its five-word shingles.
+
+    Rows equal in id and text are one. Null, empty and wordless texts are no duplicates of others.
+    """
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the copies of passages of 50 words or more; ``n_chars`` follows the text.
 
-    Documents of which nothing is left go; those that had no words before stay.
+    Documents of which nothing is left go; those that had no words before, null ones too, stay.
     """
-    some = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) > 0
-    cut = cut_repeats(docs.withColumn("__had", F.coalesce(some, F.lit(False))))
-    cut = cut.filter(~F.col("__had") | some)
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).drop("__had")
+    cut = cut_repeats(docs, drop_emptied=True)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources as often as the weights say."""
+    """Every document at least once, those of small sources as often as the weights say.
+
+    A null source is a source. Null and empty texts count as no tokens and stay.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document, with its sequence of at most 2048 tokens and place there."""
+    """A row per piece of a document, with its sequence of at most 2048 tokens and place there.
+
+    Null and empty texts are their end id alone. Longer documents than a sequence are cut.
+    """
     return pack_documents(docs, tokenizer_path())
 
 
