@@ -41,14 +41,16 @@ class Postings:
 
     ``postings (term, id, tf, positions, length)``, ``terms (term, df)`` and
     ``docs (id, length)``. A posting repeats its document's length, so that scoring joins
-    nothing but the query terms. A stored index has its postings and terms in so many
-    ``buckets`` by ``term_bucket``.
+    nothing but the query terms. A stored index has its postings, terms and ``blocks`` in so
+    many ``buckets`` by ``term_bucket``. A block is a term's postings of one class of
+    lengths: ``blocks (term, block, df, most_tf, least_length)`` bounds what any of them scores.
     """
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     buckets: int | None = None
+    blocks: DataFrame | None = None
 
     def staged(self) -> Postings:
         """The same index with its postings and lengths written once, for several uses."""
@@ -60,6 +62,17 @@ def _document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _block() -> Column:
+    """The class of lengths a posting falls into: those of one number of binary digits."""
+    return F.length(F.bin("length")).alias("block")
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", _block()).agg(
+        F.count(F.lit(1)).alias("df"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length")
+    )
+
+
 def _postings_of(tokens: pa.ListArray, ids: pa.Array, positions: bool) -> pa.RecordBatch:
     """Group each document's tokens by term with one stable sort over the whole batch."""
     offsets = tokens.offsets.to_numpy().astype(np.int64)
@@ -138,7 +151,8 @@ def write_postings(index: Postings, path: str, buckets: int = 64) -> None:
         return spark.read.schema(table.schema).parquet(f"{path}/{name}")
 
     # Terms are counted from what was written: the documents are inverted once.
-    write(_document_frequencies(write(index.postings, "postings")), "terms")
+    blocks = write(_blocks(write(index.postings, "postings")), "blocks")
+    write(blocks.groupBy("term").agg(F.sum("df").alias("df")), "terms")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
@@ -149,51 +163,138 @@ def read_postings(spark: SparkSession, path: str) -> Postings:
         spark.read.parquet(f"{path}/terms"),
         spark.read.parquet(f"{path}/docs"),
         spark.read.parquet(f"{path}/layout").first().buckets,
+        spark.read.parquet(f"{path}/blocks"),
     )
 
 
-def bm25_topk(
-    index: Postings, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75
-) -> DataFrame:
-    """``(query, id, score, position)``: the best ``k`` documents of each ``(query, text)``.
-
-    A term asked twice counts twice. Of a stored index only the buckets of asked terms are
-    read; otherwise document frequencies are counted for asked terms only. The query terms are
-    joined first: when a bounded count
-    shows them to be few they are broadcast and the postings are filtered where they are
-    read; otherwise the join shuffles by term and AQE splits frequent terms. Scores are
-    partially summed before the shuffle by query and document, and the rank limit is
-    applied before the final one.
-    """
+#: The rarest terms of a query are scored first, until they have so many times ``k`` postings.
+SEED_POSTINGS = 4
+
+
+@dataclass(frozen=True)
+class _Search:
+    """A search in steps: the threshold, what must be scored, and what is looked up."""
+
+    hits: DataFrame
+    asked: DataFrame
+    thresholds: DataFrame
+    bounded: DataFrame
+    k: int
+    part: Column
+
+    def essential(self) -> DataFrame:
+        """``(query, id, block, sure, rest)``: scores by terms that alone can reach the threshold.
+
+        ``rest`` is what the other terms can add in documents of this block.
+        """
+        rest = F.sum(F.when(~F.col("essential"), F.col("bound"))).alias("rest")
+        rests = self.bounded.groupBy("query", "block").agg(F.coalesce(rest, F.lit(0.0)).alias("rest"))
+        mine = broadcast_if_small(self.bounded.filter("essential").select("query", "term", "block", "weight"))
+        met = self.hits.join(mine, ["term", "block"])
+        sums = met.groupBy("query", "id", "block").agg(F.sum(F.col("weight") * self.part).alias("sure"))
+        return sums.join(rests, ["query", "block"])
+
+    def lookups(self, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Documents that can still reach the threshold, and ``(query, id, term, weight)`` to look up for them."""
+        open_ = scored.join(self.thresholds, "query", "left").filter(
+            F.col("threshold").isNull() | (F.col("sure") + F.col("rest") >= F.col("threshold"))
+        )
+        others = self.bounded.filter(~F.col("essential")).select("query", "block", "term", "weight")
+        return open_.select("query", "id", "block", "sure"), open_.join(others, ["query", "block"]).select("query", "id", "term", "weight")
+
+
+def _looked_up(hits: DataFrame, asked: DataFrame, part: Column) -> DataFrame:
+    """``(query, id, more)``: the sums of asked ``(query, id, term, weight)``."""
+    met = hits.join(broadcast_if_small(asked), ["term", "id"])
+    return met.groupBy("query", "id").agg(F.sum(F.col("weight") * part).alias("more"))
+
+
+def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) -> _Search:
     asked = (
         queries.select("query", F.explode(words(F.col("text"))).alias("term"))
         .groupBy("query", "term")
         .agg(F.count(F.lit(1)).alias("asked"))
     )
     asked = stage(asked, "asked-terms")
+    named = broadcast_if_small(asked.select("term").distinct())
     if index.buckets:
         # At most as many rows as the index has buckets.
         wanted = asked.select(_bucket(F.col("term"), index.buckets)).distinct().collect()
         here = F.col("term_bucket").isin([r.term_bucket for r in wanted])
-        postings, terms = index.postings.filter(here), index.terms.filter(here).select("term", "df")
+        postings = index.postings.filter(here)
+        blocks = index.blocks.filter(here).drop("term_bucket").join(named, "term", "left_semi")
     else:
-        named = broadcast_if_small(asked.select("term").distinct())
         postings = index.postings
-        terms = _document_frequencies(postings.select("term").join(named, "term", "left_semi"))
+        blocks = _blocks(postings.select("term", "tf", "length").join(named, "term", "left_semi"))
+    blocks = stage(blocks, "blocks")
     n_docs, avg_length = index.docs.agg(F.count(F.lit(1)), F.avg("length")).first()
+
+    def tf_part(tf: str, length: str) -> Column:
+        norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col(length) / F.lit(avg_length or 1.0))
+        return F.col(tf) * F.lit(k1 + 1.0) / (F.col(tf) + norm)
+
+    terms = blocks.groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.ln(
         F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     ) * F.col("asked")
-    weighted = stage(
-        asked.join(terms, "term").select("query", "term", weight.alias("weight")), "asked"
-    )
-    hits = postings.select("term", "id", "tf", "length").join(
-        broadcast_if_small(weighted), "term"
-    )
-    norm = F.lit(k1) * (
-        F.lit(1.0 - b) + F.lit(b) * F.col("length") / F.lit(avg_length or 1.0)
-    )
-    part = F.col("weight") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
-    scored = hits.groupBy("query", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    weighted = stage(asked.join(terms, "term").select("query", "term", "df", weight.alias("weight")), "asked")
+    hits = postings.select("term", "id", "tf", "length", _block())
+    part = tf_part("tf", "length")
+
+    # The rarest terms give k documents whose whole scores set the threshold.
+    rarest = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("df").over(rarest), F.lit(0))
+    seeds = weighted.withColumn("before", before).filter(F.col("before") < SEED_POSTINGS * k)
+    seeded = hits.join(broadcast_if_small(seeds.select("query", "term", "weight")), "term")
+    seeded = seeded.groupBy("query", "id").agg(F.sum(F.col("weight") * part).alias("sure"))
+    best = Window.partitionBy("query").orderBy(F.desc("sure"), F.asc("id"))
+    first = seeded.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    first = stage(first.select("query", "id"), "seeds")
+    sums = _looked_up(hits, first.join(weighted.select("query", "term", "weight"), "query"), part)
+    # Sums that round to the same digits tie, so what comes that close is looked at.
+    slack = 2 * 10.0**-SCORE_DIGITS
+    lowest = sums.groupBy("query").agg(F.count("*").alias("n"), F.min("more").alias("low")).filter(F.col("n") >= k)
+    thresholds = stage(lowest.select("query", (F.col("low") - F.lit(slack)).alias("threshold")), "thresholds")
+
+    bound = F.col("weight") * tf_part("most_tf", "least_length")
+    bounded = weighted.join(blocks.drop("df"), "term").select("query", "term", "block", "weight", bound.alias("bound"))
+    # In each block the terms with the least bounds that together stay below the threshold.
+    upto = Window.partitionBy("query", "block").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = bounded.withColumn("upto", F.sum("bound").over(upto)).join(broadcast_if_small(thresholds), "query", "left")
+    essential = F.col("threshold").isNull() | (F.col("upto") >= F.col("threshold"))
+    bounded = stage(bounded.select("query", "term", "block", "weight", "bound", essential.alias("essential")), "bounded")
+    return _Search(hits, weighted, thresholds, bounded, k, part)
+
+
+def bm25_topk(
+    index: Postings, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """``(query, id, score, position)``: the best ``k`` documents of each ``(query, text)``, exactly.
+
+    A term asked twice counts twice. Documents that hold a query's rarest terms set a threshold, the
+    k-th best of their whole scores. Blocks of postings bound what a term can add: in
+    each block the terms that together stay below the threshold need no scoring of their
+    own, so a document without any other term is never met, and frequent terms are looked up
+    only in documents that can still reach the threshold. Of a stored index only the buckets of
+    asked terms are read. Small sides, by a bounded count, are broadcast; otherwise joins
+    shuffle and AQE splits frequent terms. Partial sums precede shuffles.
+    """
+    search = _search(index, queries, k, k1, b)
+    scored = stage(search.essential(), "essential")
+    open_, wanted = search.lookups(scored)
+    more = _looked_up(search.hits, stage(wanted, "lookups"), search.part)
+    total = F.round(F.col("sure") + F.coalesce("more", F.lit(0.0)), SCORE_DIGITS)
+    scored = open_.join(more, ["query", "id"], "left").select("query", "id", total.alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
+
+
+def scored_pairs(
+    index: Postings, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75
+) -> tuple[int, int]:
+    """``(postings met by a search, postings that match its queries)``, each counted by query."""
+    search = _search(index, queries, k, k1, b)
+    matching = search.asked.agg(F.sum("df")).first()[0] or 0
+    essential = search.hits.join(search.bounded.filter("essential").select("query", "term", "block"), ["term", "block"])
+    _, wanted = search.lookups(stage(search.essential(), "essential"))
+    return essential.count() + search.hits.join(wanted, ["term", "id"]).count(), matching

@@ -64,6 +64,36 @@ def test_bm25(spark, tmp_path, stored, rows):
     assert rows(got, "query", "id", "score", "position") == sorted(found, key=lambda r: (r[0], r[1]))
 
 
+def test_frequent_terms_are_met_where_a_document_can_still_win(spark, rows):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(6)]
+    docs = []
+    for i in range(900):
+        body = [rng.choice(common) for _ in range(rng.choice([5, 30, 200]))]
+        body += [f"r{rng.randrange(40)}" for _ in range(rng.randrange(3))] * rng.choice([1, 1, 3])
+        docs.append((f"d{i:03}", " ".join(body)))
+    queries = [(q, " ".join([*common, f"r{q}", f"r{q + 1}"])) for q in range(12)] + [(50, "c0"), (51, "c1 c2"), (52, "nothing")]
+    index = search.build_postings(spark.createDataFrame(docs, DOCS), positions=False).staged()
+    asked = spark.createDataFrame(queries, "query int, text string")
+    met, matching = search.scored_pairs(index, asked.filter("query < 50"), 5)
+    assert met < matching / 2
+    texts = {i: Counter(t.split()) for i, t in docs}
+    size = {i: sum(c.values()) for i, c in texts.items()}
+    mean = sum(size.values()) / len(size)
+    want = []
+    for q, text in queries:
+        scores = Counter()
+        for term in text.split():
+            df = sum(term in c for c in texts.values())
+            idf = math.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+            for i, c in texts.items():
+                if c[term]:
+                    scores[i] += idf * c[term] * 2.2 / (c[term] + 1.2 * (0.25 + 0.75 * size[i] / mean))
+        best = sorted((-round(s, 6), i) for i, s in scores.items())[:5]
+        want += [(q, i, n) for n, (_, i) in enumerate(best, 1)]
+    assert rows(search.bm25_topk(index, asked, 5), "query", "id", "position") == sorted(want, key=repr)
+
+
 def test_search_docs(spark):
     df = spark.createDataFrame([(1, "x", None, "z")], "k long, a string, b string, c string")
     row = search.to_search_docs(df, "k", ["a", "b", "c"], ["k", "a"]).first()
