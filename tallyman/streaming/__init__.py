@@ -8,8 +8,11 @@ from tallyman.streaming.running import (
     unique_digests,
 )
 from tallyman.streaming.runner import drain_appended, drain_updated
+from tallyman.streaming.stored import StoredDedup, drain_against_store
 
 __all__ = [
+    "StoredDedup",
+    "drain_against_store",
     "drain_appended",
     "drain_updated",
     "peaks_from_windows",

@@ -16,6 +16,8 @@ from tallyman.operators.sync import (
     stalled,
     transfer_plan,
 )
+from tallyman.session import scratch_path, stage
+from tallyman.streaming.stored import drain_against_store
 from tallyman.workload.fixtures import events, layers, table
 from tallyman.workload.registry import Workload
 
@@ -171,6 +173,27 @@ def r5_dedup_digests(spark, sf_dir):
     return dedup_digests(blobs.select("digest", "size", "seq"), stored)
 
 
+@work.query(
+    "r5_dedup_stream",
+    "WITH " + LAYERS_SQL + """
+SELECT digest, size, min(seq) AS seq, count(*)::BIGINT AS copies FROM layers
+WHERE digest NOT IN (SELECT digest FROM layers WHERE seq % 10 = 0) GROUP BY digest, size
+""",
+)
+def r5_dedup_stream(spark, sf_dir):
+    """The same with blobs that arrive in three batches, the last after a restart."""
+    blobs = layers(spark, sf_dir).select("digest", "size", "seq")
+    stored = blobs.filter(F.pmod("seq", F.lit(10)) == 0).select("digest").distinct()
+    stored = stage(stored, "stored")
+    arriving, path, checkpoint = (scratch_path(spark, n) for n in ("arriving", "deduped", "deduped-state"))
+    stream = spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(arriving)
+    for parts in ((0, 1), (2,)):
+        for n in parts:
+            blobs.filter(F.pmod("seq", F.lit(3)) == n).coalesce(1).write.parquet(f"{arriving}/{n}")
+        found = drain_against_store(stream, stored, path, checkpoint, bits=1 << 20)
+    return found
+
+
 @work.query(
     "r6_drift",
     """

@@ -19,6 +19,7 @@ from tallyman.streaming import (
     stall_alerts,
     unique_digests,
 )
+from tallyman.streaming.stored import StoredDedup, drain_against_store
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -47,6 +48,25 @@ def test_unique_digests(spark, tmp_path, rows):
     assert rows(drain_appended(bounded, "d"), "digest", "size") == want
 
 
+def test_arrivals_against_a_store(spark, tmp_path, rows):
+    schema = "digest string, size long, seq long"
+    data = [(f"d{i % 23}", i % 23, 500 - i) for i in range(120)] + [(None, 1, 1)]
+    df = spark.createDataFrame(data, schema)
+    stored = spark.createDataFrame([(f"d{i}",) for i in range(0, 40, 5)] + [(None,)], "digest string")
+    want = rows(dedup_digests(df.filter("digest IS NOT NULL"), stored))
+    # Few bits: nearly every digest may be stored, and is looked up.
+    for bits in (1 << 16, 64):
+        work = StoredDedup(spark, stored, str(tmp_path / f"w{bits}"), bits)
+        for n in (0, 1, 1, 2, 0, 1, 2):  # batches are repeated after a restart
+            work.take(df.filter(F.col("seq") % 3 == n), n)
+        assert rows(work.result(df.schema)) == want
+        fresh = spark.read.parquet(str(tmp_path / f"w{bits}" / "arrivals")).filter("fresh")
+        assert fresh.count() == fresh.select("digest").distinct().count() == len(want)
+    stream = as_stream(spark, df, str(tmp_path / "in"))
+    got = drain_against_store(stream, stored, str(tmp_path / "out"), str(tmp_path / "state"), 1 << 16)
+    assert rows(got) == want
+
+
 def progress(spark):
     rng = random.Random(8)
     data = []
