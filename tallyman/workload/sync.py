@@ -186,10 +186,11 @@ def r5_dedup_stream(spark, sf_dir):
     stored = blobs.filter(F.pmod("seq", F.lit(10)) == 0).select("digest").distinct()
     stored = stage(stored, "stored")
     arriving, path, checkpoint = (scratch_path(spark, n) for n in ("arriving", "deduped", "deduped-state"))
-    stream = spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(arriving)
     for parts in ((0, 1), (2,)):
         for n in parts:
             blobs.filter(F.pmod("seq", F.lit(3)) == n).coalesce(1).write.parquet(f"{arriving}/{n}")
+        stream = spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", 1)
+        stream = stream.option("recursiveFileLookup", True).parquet(arriving)
         found = drain_against_store(stream, stored, path, checkpoint, bits=1 << 20)
     return found
 
