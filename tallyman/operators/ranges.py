@@ -13,6 +13,7 @@ from tallyman.operators.ordered import (
     ordered_chunks,
     run_fold,
     with_row_number,
+    with_running_sum,
 )
 
 
@@ -94,57 +95,51 @@ def cut_ranges(
     )
 
 
-def containment(parts: DataFrame, protected: DataFrame, bin_bytes: int) -> DataFrame:
-    """``(archive, name, start, end, home, spans)`` per protected range.
+def containment(parts: DataFrame, protected: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(archive, name, start, end, home, spans, first_part, last_part)`` per protected range.
 
     ``home`` is the part that holds the range whole, else null and ``spans`` counts the
     parts it touches, with ``first_part`` and ``last_part``. A range that no part touches has
-    ``spans`` 0; an empty one lies in the part that holds its start. The overlap join is an equi
-    join on bins of ``bin_bytes``: about one bin per part keeps both sides from growing.
-    """
-    width = F.lit(bin_bytes).cast("long")
-
-    def bins(lo: Column, hi: Column) -> Column:
-        # hi is exclusive; an empty range still sits in the bin of its start.
-        top = F.greatest(lo, hi - F.lit(1))
-        return F.explode(F.sequence(F.floor(lo / width), F.floor(top / width)))
+    ``spans`` 0; an empty one lies in the part that holds its start. Parts of one archive don't
+    overlap each other; gaps between them may be left. Ranges may overlap as they like.
 
-    left = protected.select(
-        "archive", "name", "start", "end", bins(F.col("start"), F.col("end")).alias("bin")
-    )
-    right = parts.select(
-        "archive",
-        "part",
-        F.col("start").alias("ps"),
-        F.col("end").alias("pe"),
-        bins(F.col("start"), F.col("end")).alias("bin"),
-    )
-    touching = (
-        left.join(right, ["archive", "bin"])
-        # Each overlapping pair meets in every bin both cover; keep the first.
-        .filter(
-            (F.col("bin") == F.floor(F.greatest("start", "ps") / width))
-            & (F.col("ps") < F.greatest("end", F.col("start") + 1))
-            & (F.col("start") < F.col("pe"))
-        )
-    )
-    whole = (F.col("ps") <= F.col("start")) & (F.col("end") <= F.col("pe"))
-    found = touching.groupBy("archive", "name", "start", "end").agg(
-        F.max(F.when(whole, F.col("part"))).alias("home"),
-        F.count(F.lit(1)).alias("spans"),
-        F.min("part").alias("first_part"),
-        F.max("part").alias("last_part"),
-    )
+    A sweep in place of a join of intervals: parts are numbered over a distributed sort, and two
+    running counts say how many parts end at or before a range's start and how many begin before
+    its end. What lies between is what it touches, so a range over a million parts is still
+    one row, and only its first and last part are looked up by number.
+    """
     keys = ["archive", "name", "start", "end"]
-    every = protected.select(*keys).distinct().alias("p")
-    same = F.expr(" AND ".join(f"p.`{k}` <=> f.`{k}`" for k in keys))
-    return every.join(found.alias("f"), same, "left").select(
-        *[F.col(f"p.{k}") for k in keys],
-        "home",
-        F.coalesce("spans", F.lit(0).cast("long")).alias("spans"),
-        "first_part",
-        "last_part",
+    every = protected.select(*keys).distinct()
+    within = F.greatest("end", F.col("start") + 1)
+    known = parts.filter("archive IS NOT NULL")
+
+    def before(edge: Column, point: Column, part_first: bool, name: str) -> DataFrame:
+        """How many parts, over all archives in order, have their ``edge`` before a range's ``point``."""
+        sides = known.select("archive", edge.alias("at"), F.lit(0 if part_first else 1).alias("turn"), F.lit(1).alias("one")).unionByName(
+            every.select(*keys, point.alias("at"), F.lit(1 if part_first else 0).alias("turn"), F.lit(0).alias("one")),
+            allowMissingColumns=True,
+        )
+        counted = with_running_sum(sides, [F.asc_nulls_first("archive"), "at", "turn"], F.col("one"), name, chunk_rows)
+        return counted.filter("one = 0").select(*keys, name)
+
+    numbered = with_row_number(known.select("archive", "part", "start", "end"), ["archive", "start", "end"], "n", chunk_rows)
+    ended = before(F.col("end"), F.col("start"), True, "ended").alias("e")
+    begun = before(F.col("start"), within, False, "begun").alias("b")
+    same = F.expr(" AND ".join(f"e.`{k}` <=> b.`{k}`" for k in keys))
+    counts = ended.join(begun, same).select(*[F.col(f"e.{k}") for k in keys], "ended", "begun")
+    # A null archive has no parts.
+    spans = F.when(F.col("archive").isNotNull(), F.greatest(F.col("begun") - F.col("ended"), F.lit(0))).otherwise(0)
+    counts = counts.withColumn("spans", spans.cast("long"))
+    first = numbered.select((F.col("n") - 1).alias("ended"), F.col("part").alias("first_part"), F.col("start").alias("ps"), F.col("end").alias("pe"))
+    last = numbered.select(F.col("n").alias("begun"), F.col("part").alias("last_part"))
+    met = counts.filter("spans > 0").join(first, "ended", "left").join(last, "begun", "left")
+    whole = (F.col("spans") == 1) & (F.col("ps") <= F.col("start")) & (F.col("end") <= F.col("pe"))
+    found = met.select(*keys, F.when(whole, F.col("first_part")).alias("home"), "spans", "first_part", "last_part")
+    none = F.lit(None).cast(parts.schema["part"].dataType)
+    apart = counts.filter("spans = 0").select(
+        *keys, none.alias("home"), "spans", none.alias("first_part"), none.alias("last_part")
     )
+    return found.unionByName(apart)
 
 
 def sub_chunks(parts: DataFrame, max_part: int, sub: int) -> DataFrame:

@@ -42,6 +42,6 @@ def split_archives(
     return Split(
         parts=parts,
         files=part_names(sub_chunks(parts, max_part, sub_bytes), stem),
-        homes=containment(parts, protected, part_bytes),
+        homes=containment(parts, protected),
         coverage=part_coverage(parts, archives),
     )

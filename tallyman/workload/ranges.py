@@ -84,7 +84,7 @@ def p10_containment(spark, sf_dir):
         (F.col("offset") + F.col("bytes")).alias("end"),
     )
     # Some slices are lost, so that ranges stand in gaps.
-    return containment(parts.filter("part % 7 <> 3"), talks, SLICE)
+    return containment(parts.filter("part % 7 <> 3"), talks)
 
 
 CHUNK_SQL = CUT_SQL + """,

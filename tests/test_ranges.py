@@ -35,7 +35,7 @@ def test_documented_layout(spark):
     parts = ranges.cut_ranges(archives, protected, part)
     got = [(r.part, round((r.end - r.start) / 2**30, 2)) for r in parts.orderBy("part").collect()]
     assert got == [*[(i, 9.0) for i in range(7)], (7, 6.33), (8, 2.94), (9, 14.91), (10, 1.48)]
-    found = {r.name: (r.home, r.spans) for r in ranges.containment(parts, protected, part).collect()}
+    found = {r.name: (r.home, r.spans) for r in ranges.containment(parts, protected).collect()}
     assert found == {"title": (8, 1), "text": (9, 1)}
     over = ranges.sub_chunks(parts, 10 * 2**30, 8 * 2**30).filter("chunk IS NOT NULL")
     named = ranges.part_names(over, F.lit("w.zim"))
@@ -70,7 +70,8 @@ def test_cuts_match_the_plain_walk(spark, chunk_rows):
     assert {(r.archive, r.part): (r.start, r.end) for r in parts.collect()} == want
 
 
-def test_containment_finds_every_overlap(spark):
+@pytest.mark.parametrize("chunk_rows", [4, 1 << 18])
+def test_containment_finds_every_overlap(spark, chunk_rows):
     rng = random.Random(4)
     edges = sorted({0, 1000, *[rng.randint(1, 999) for _ in range(12)]})
     parts = list(zip(edges, edges[1:]))
@@ -79,7 +80,7 @@ def test_containment_finds_every_overlap(spark):
         spark.createDataFrame([("x", i, a, b) for i, (a, b) in enumerate(parts)],
                               "archive string, part int, start long, end long"),
         spark.createDataFrame([("x", f"r{i}", a, b) for i, (a, b) in enumerate(held)], RANGE),
-        37,
+        chunk_rows,
     )
     want = {}
     for i, (a, b) in enumerate(held):
@@ -89,10 +90,22 @@ def test_containment_finds_every_overlap(spark):
     assert {r.name: (r.home, r.spans, r.first_part, r.last_part) for r in got.collect()} == want
 
 
+def test_a_range_over_very_many_parts_is_one_row(spark):
+    n = 300_000
+    parts = spark.range(n).select(
+        F.lit("x").alias("archive"), F.col("id").cast("int").alias("part"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end")
+    )
+    held = spark.createDataFrame([("x", "all", 0, 10 * n), ("x", "most", 15, 10 * n - 15), ("x", "one", 41, 49)], RANGE)
+    got = ranges.containment(parts, held)
+    found = {r.name: (r.home, r.spans, r.first_part, r.last_part) for r in got.collect()}
+    assert found == {"all": (None, n, 0, n - 1), "most": (None, n - 2, 1, n - 2), "one": (4, 1, 4, 4)}
+    assert "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_containment_reports_ranges_in_gaps(spark, rows):
     parts = spark.createDataFrame([("x", 0, 0, 10), ("x", 1, 20, 30)], "archive string, part int, start long, end long")
     held = [("x", "in", 2, 5), ("x", "gap", 12, 15), ("x", "edge", 20, 20), ("x", "empty gap", 15, 15), ("y", "other", 0, 1)]
-    got = ranges.containment(parts, spark.createDataFrame(held, RANGE), 10)
+    got = ranges.containment(parts, spark.createDataFrame(held, RANGE))
     assert rows(got, "name", "home", "spans") == sorted(
         [("in", 0, 1), ("gap", None, 0), ("edge", 1, 1), ("empty gap", None, 0), ("other", None, 0)], key=repr
     )
