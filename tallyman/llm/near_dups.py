@@ -238,8 +238,12 @@ def near_duplicates(
 
 def _links(classes: DataFrame, keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Confirmed pairs of classes that connect all classes which share a bucket and are similar."""
-    bucketed = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("m"))
+    bucketed = classes.select("node", "doc", F.explode("bands").alias("bucket"))
+    # The hub is the class of the smallest id: what others were copied from shares most buckets with
+    # each of them, so they meet the same hub in many, and few pairs differ.
+    first = F.min(F.struct("doc", "node")).alias("first")
+    hubs = bucketed.groupBy("bucket").agg(first, F.count("*").alias("m")).select("bucket", F.col("first.node").alias("a"), "m")
+    bucketed = bucketed.select("node", "bucket")
     left = stage(bucketed.join(hubs.filter("m > 1").select("bucket", "a"), "bucket"), "buckets")
     texts = _texts(left.select("node").distinct(), classes, keyed)
     pairs = left.filter("node != a").select("a", F.col("node").alias("b")).distinct()
