@@ -109,7 +109,7 @@ def test_chains_are_the_plain_fold(spark, limit, chunk_rows):
     """Keys of one row and of hundreds, a null one; rows without cost, over the limit, and that never open."""
     rng = random.Random(limit)
     data, want = [], {}
-    for key, n in [("a", 1), ("b", 700), (None, 90), ("c", 2), ("d", 0), ("e", 33)]:
+    for key, n in [("a", 1), ("b", 260), (None, 60), ("c", 2), ("d", 0), ("e", 33)]:
         costs = [rng.choice([0, 0, 1, 30, 299, 1200]) for _ in range(n)]
         rolls = [rng.random() < (0.7 if key != "e" else 0.05) for _ in costs]
         data += [(key, i, c, r) for i, (c, r) in enumerate(zip(costs, rolls))]
