@@ -182,14 +182,18 @@ WHERE digest NOT IN (SELECT digest FROM layers WHERE seq % 10 = 0) GROUP BY dige
 )
 def r5_dedup_stream(spark, sf_dir):
     """The same with blobs that arrive in three batches, the last after a restart."""
-    blobs = layers(spark, sf_dir).select("digest", "size", "seq")
+    # Texts are read and hashed once; every task then writes its own rows of a part.
+    blobs = stage(layers(spark, sf_dir).select("digest", "size", "seq"), "blobs")
     stored = blobs.filter(F.pmod("seq", F.lit(10)) == 0).select("digest").distinct()
     stored = stage(stored, "stored")
     arriving, path, checkpoint = (scratch_path(spark, n) for n in ("arriving", "deduped", "deduped-state"))
     for parts in ((0, 1), (2,)):
+        files = 1
         for n in parts:
-            blobs.filter(F.pmod("seq", F.lit(3)) == n).coalesce(1).write.parquet(f"{arriving}/{n}")
-        stream = spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", 1)
+            blobs.filter(F.pmod("seq", F.lit(3)) == n).write.parquet(f"{arriving}/{n}")
+            files = max(files, len(spark.read.schema(blobs.schema).parquet(f"{arriving}/{n}").inputFiles()))
+        # As many files a batch as the larger part has: a batch for each part, oldest files first.
+        stream = spark.readStream.schema(blobs.schema).option("maxFilesPerTrigger", files)
         stream = stream.option("recursiveFileLookup", True).parquet(arriving)
         found = drain_against_store(stream, stored, path, checkpoint, bits=1 << 20)
     return found

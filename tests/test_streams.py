@@ -20,6 +20,7 @@ from tallyman.streaming import (
     unique_digests,
 )
 from tallyman.streaming.stored import StoredDedup, drain_against_store
+from tallyman.workload import sync as sync_queries
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -143,3 +144,21 @@ def test_resource_windows(spark, tmp_path, rows):
     assert rows(stream) == rows(batch)
     peak = peaks_from_windows(stream).filter("run = 'r'").first()
     assert (peak.run, peak.peak_disk_gb, peak.samples) == ("r", 40, 10)
+
+
+def test_arriving_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch, rows):
+    docs = [(i, f"text {i % 50}", "en", "s", 7) for i in range(120)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    paths = {}
+    monkeypatch.setattr(sync_queries, "scratch_path", lambda _, name: paths.setdefault(name, f"{tmp_path}/{name}"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = rows(sync_queries.r5_dedup_stream(spark, str(tmp_path)), "digest", "size", "seq", "copies")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == rows(sync_queries.r5_dedup_digests(spark, str(tmp_path)), "digest", "size", "seq", "copies")
+    for n in range(3):
+        assert len(spark.read.parquet(f"{paths['arriving']}/{n}").inputFiles()) > 1
+    batches = [p.name for p in (tmp_path / "deduped" / "bloom").iterdir() if p.is_dir()]
+    assert sorted(batches) == ["batch=-1", "batch=0", "batch=1", "batch=2"]
