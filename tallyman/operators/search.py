@@ -169,44 +169,54 @@ def read_postings(spark: SparkSession, path: str) -> Postings:
 
 #: The rarest terms of a query are scored first, until they have so many times ``k`` postings.
 SEED_POSTINGS = 4
+#: Asked terms by block, narrow rows, that may be broadcast.
+BOUND_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class _Search:
-    """A search in steps: the threshold, what must be scored, and what is looked up."""
+    """A search in steps: the threshold, what must be scored, and what is looked up.
 
-    hits: DataFrame
+    ``found (id, block, term, part)`` has the postings of asked terms by document: what follows
+    groups and joins them by ``id``, so that nothing else is shuffled before the best are taken.
+    """
+
+    found: DataFrame
     asked: DataFrame
     thresholds: DataFrame
     bounded: DataFrame
     k: int
-    part: Column
 
     def essential(self) -> DataFrame:
-        """``(query, id, block, sure, rest)``: scores by terms that alone can reach the threshold.
+        """``(id, block, query, weight, part)``: the postings of terms that alone can reach the threshold."""
+        mine = self.bounded.filter("essential").select("query", "term", "block", "weight")
+        return self.found.join(broadcast_if_small(mine, BOUND_ROWS), ["term", "block"])
+
+    def open_(self) -> DataFrame:
+        """``(id, open)``: the queries whose threshold a document can still reach.
 
-        ``rest`` is what the other terms can add in documents of this block.
+        Its score by essential terms is known; the others can add their bounds in its block.
         """
         rest = F.sum(F.when(~F.col("essential"), F.col("bound"))).alias("rest")
         rests = self.bounded.groupBy("query", "block").agg(F.coalesce(rest, F.lit(0.0)).alias("rest"))
-        mine = broadcast_if_small(self.bounded.filter("essential").select("query", "term", "block", "weight"))
-        met = self.hits.join(mine, ["term", "block"])
-        sums = met.groupBy("query", "id", "block").agg(F.sum(F.col("weight") * self.part).alias("sure"))
-        return sums.join(rests, ["query", "block"])
-
-    def lookups(self, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Documents that can still reach the threshold, and ``(query, id, term, weight)`` to look up for them."""
-        open_ = scored.join(self.thresholds, "query", "left").filter(
-            F.col("threshold").isNull() | (F.col("sure") + F.col("rest") >= F.col("threshold"))
+        least = rests.join(self.thresholds, "query", "left").select(
+            "query", "block", (F.col("threshold") - F.col("rest")).alias("least")
+        )
+        sums = self.essential().groupBy("id", "block", "query").agg(F.sum(F.col("weight") * F.col("part")).alias("sure"))
+        reached = sums.join(broadcast_if_small(least, BOUND_ROWS), ["query", "block"]).filter(
+            F.col("least").isNull() | (F.col("sure") >= F.col("least"))
+        )
+        return reached.groupBy("id").agg(F.collect_set("query").alias("open"))
+
+    def lookups(self) -> DataFrame:
+        """``(id, block, query, weight, part)``: all postings of open documents for their open queries."""
+        mine = broadcast_if_small(self.bounded.select("query", "term", "block", "weight"), BOUND_ROWS)
+        theirs = self.found.join(self.open_(), "id").alias("theirs")
+        mine = mine.alias("mine")
+        same = (F.col("theirs.term") == F.col("mine.term")) & (F.col("theirs.block") == F.col("mine.block"))
+        return theirs.join(mine, same & F.array_contains("open", F.col("query"))).select(
+            "id", "theirs.block", "query", "weight", "part"
         )
-        others = self.bounded.filter(~F.col("essential")).select("query", "block", "term", "weight")
-        return open_.select("query", "id", "block", "sure"), open_.join(others, ["query", "block"]).select("query", "id", "term", "weight")
-
-
-def _looked_up(hits: DataFrame, asked: DataFrame, part: Column) -> DataFrame:
-    """``(query, id, more)``: the sums of asked ``(query, id, term, weight)``."""
-    met = hits.join(broadcast_if_small(asked), ["term", "id"])
-    return met.groupBy("query", "id").agg(F.sum(F.col("weight") * part).alias("more"))
 
 
 def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) -> _Search:
@@ -222,10 +232,15 @@ def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) ->
         wanted = asked.select(_bucket(F.col("term"), index.buckets)).distinct().collect()
         here = F.col("term_bucket").isin([r.term_bucket for r in wanted])
         postings = index.postings.filter(here)
-        blocks = index.blocks.filter(here).drop("term_bucket").join(named, "term", "left_semi")
     else:
         postings = index.postings
-        blocks = _blocks(postings.select("term", "tf", "length").join(named, "term", "left_semi"))
+    # The index is read once; every step after it meets the postings of asked terms alone.
+    hits = postings.join(named, "term", "left_semi").select("term", "id", "tf", "length", _block())
+    hits = stage(hits, "hits")
+    if index.buckets:
+        blocks = index.blocks.filter(here).drop("term_bucket").join(named, "term", "left_semi")
+    else:
+        blocks = _blocks(hits)
     blocks = stage(blocks, "blocks")
     n_docs, avg_length = index.docs.agg(F.count(F.lit(1)), F.avg("length")).first()
 
@@ -238,7 +253,6 @@ def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) ->
         F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))
     ) * F.col("asked")
     weighted = stage(asked.join(terms, "term").select("query", "term", "df", weight.alias("weight")), "asked")
-    hits = postings.select("term", "id", "tf", "length", _block())
     part = tf_part("tf", "length")
 
     # The rarest terms give k documents whose whole scores set the threshold.
@@ -250,7 +264,9 @@ def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) ->
     best = Window.partitionBy("query").orderBy(F.desc("sure"), F.asc("id"))
     first = seeded.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
     first = stage(first.select("query", "id"), "seeds")
-    sums = _looked_up(hits, first.join(weighted.select("query", "term", "weight"), "query"), part)
+    theirs = hits.join(broadcast_if_small(first), "id")
+    sums = theirs.join(broadcast_if_small(weighted.select("query", "term", "weight")), ["query", "term"])
+    sums = sums.groupBy("query", "id").agg(F.sum(F.col("weight") * part).alias("more"))
     # Sums that round to the same digits tie, so what comes that close is looked at.
     slack = 2 * 10.0**-SCORE_DIGITS
     lowest = sums.groupBy("query").agg(F.count("*").alias("n"), F.min("more").alias("low")).filter(F.col("n") >= k)
@@ -263,7 +279,8 @@ def _search(index: Postings, queries: DataFrame, k: int, k1: float, b: float) ->
     bounded = bounded.withColumn("upto", F.sum("bound").over(upto)).join(broadcast_if_small(thresholds), "query", "left")
     essential = F.col("threshold").isNull() | (F.col("upto") >= F.col("threshold"))
     bounded = stage(bounded.select("query", "term", "block", "weight", "bound", essential.alias("essential")), "bounded")
-    return _Search(hits, weighted, thresholds, bounded, k, part)
+    found = hits.select("id", "block", "term", part.alias("part")).repartition("id")
+    return _Search(found, weighted, thresholds, bounded, k)
 
 
 def bm25_topk(
@@ -276,15 +293,13 @@ def bm25_topk(
     each block the terms that together stay below the threshold need no scoring of their
     own, so a document without any other term is never met, and frequent terms are looked up
     only in documents that can still reach the threshold. Of a stored index only the buckets of
-    asked terms are read. Small sides, by a bounded count, are broadcast; otherwise joins
-    shuffle and AQE splits frequent terms. Partial sums precede shuffles.
+    asked terms are read. Their postings are shuffled once, by document, however many queries ask
+    for a term. Small sides, by a bounded count, are broadcast; otherwise joins shuffle and
+    AQE splits frequent terms.
     """
     search = _search(index, queries, k, k1, b)
-    scored = stage(search.essential(), "essential")
-    open_, wanted = search.lookups(scored)
-    more = _looked_up(search.hits, stage(wanted, "lookups"), search.part)
-    total = F.round(F.col("sure") + F.coalesce("more", F.lit(0.0)), SCORE_DIGITS)
-    scored = open_.join(more, ["query", "id"], "left").select("query", "id", total.alias("score"))
+    total = F.round(F.sum(F.col("weight") * F.col("part")), SCORE_DIGITS).alias("score")
+    scored = search.lookups().groupBy("query", "id", "block").agg(total).drop("block")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 
@@ -295,6 +310,4 @@ def scored_pairs(
     """``(postings met by a search, postings that match its queries)``, each counted by query."""
     search = _search(index, queries, k, k1, b)
     matching = search.asked.agg(F.sum("df")).first()[0] or 0
-    essential = search.hits.join(search.bounded.filter("essential").select("query", "term", "block"), ["term", "block"])
-    _, wanted = search.lookups(stage(search.essential(), "essential"))
-    return essential.count() + search.hits.join(wanted, ["term", "id"]).count(), matching
+    return search.essential().count() + search.lookups().count(), matching

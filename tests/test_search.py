@@ -94,6 +94,31 @@ def test_frequent_terms_are_met_where_a_document_can_still_win(spark, rows):
     assert rows(search.bm25_topk(index, asked, 5), "query", "id", "position") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_postings_are_kept_once_for_all_queries(spark, tmp_path, monkeypatch, stored, rows):
+    docs = [(f"d{i:03}", " ".join(["c0"] * (1 + i % 7) + ["c1"] * (i % 5) + [f"r{i % 9}"])) for i in range(200)]
+    index = search.build_postings(spark.createDataFrame(docs, DOCS))
+    if stored:
+        search.write_postings(index, str(tmp_path / "i"), buckets=4)
+        index = search.read_postings(spark, str(tmp_path / "i"))
+    most = index.postings.count()
+    staged, stage = {}, search.stage
+
+    def counted(df, label):
+        staged[label] = (kept := stage(df, label)).count()
+        return kept
+
+    monkeypatch.setattr(search, "stage", counted)
+    asked = spark.createDataFrame([(q, "c0 c1") for q in range(60)], "query int, text string")
+    got = search.bm25_topk(index, asked, 3)
+    best = rows(got.filter("query = 0"), "id", "score", "position")
+    assert len(best) == 3
+    for q in (1, 59):
+        assert rows(got.filter(F.col("query") == q), "id", "score", "position") == best
+    # Pairs of a query and a document were kept, 60 times 200 of them.
+    assert max(staged.values()) <= most
+
+
 def test_search_docs(spark):
     df = spark.createDataFrame([(1, "x", None, "z")], "k long, a string, b string, c string")
     row = search.to_search_docs(df, "k", ["a", "b", "c"], ["k", "a"]).first()
