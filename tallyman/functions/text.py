@@ -30,6 +30,4 @@ def origin_rebased(text: Column, origin: str, target: str) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
-    return F.filter(
-        F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda token: F.length(token) > 0
-    )
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
